@@ -184,8 +184,12 @@ def pipeline(
 
 
 def featurize(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The input columns and ``features``, without the columns in between."""
-    return model.transform(df).select(*df.columns, "features")
+    """The input columns and ``features``, without the columns in between.
+
+    The vector's slot names are left out of the schema: they would be sent with every
+    task of every iteration of a fit.
+    """
+    return model.transform(df).select(*df.columns, F.col("features").alias("features", metadata={}))
 
 
 def feature_names(model: PipelineModel) -> list[str]:
