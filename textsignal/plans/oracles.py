@@ -100,13 +100,13 @@ scored AS (
 decided AS (SELECT *, CASE WHEN score >= 0.6::double THEN 1 ELSE 0 END AS prediction FROM scored)
 """
 TERMS = f""", masked AS (
-  SELECT comment_id, clean_body, array_to_string(list_filter(string_split(clean_body, ' '), w -> w NOT IN ({_list(ANXIETY.terms)})), ' ') AS shown
+  SELECT comment_id, clean_body, array_to_string([w FOR w IN string_split(clean_body, ' ') IF w NOT IN ({_list(ANXIETY.terms)})], ' ') AS shown
   FROM prepared
 ),
 texts AS (SELECT comment_id, regexp_extract_all(strip_accents(lower(shown)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS all_tokens FROM masked),
-words AS (SELECT comment_id, list_filter(@tokens, w -> w NOT IN (@stop)) AS w FROM texts),
+words AS (SELECT comment_id, [w FOR w IN @tokens IF w NOT IN (@stop)] AS w FROM texts),
 terms AS (
-  SELECT comment_id, list_concat(w, list_transform(range(1, greatest(len(w), 1)), i -> concat(w[i], ' ', w[i + 1]))) AS terms
+  SELECT comment_id, list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, greatest(len(w), 1))]) AS terms
   FROM words
 ),
 counted AS (SELECT comment_id, term, count(*) AS tf FROM (SELECT comment_id, unnest(terms) AS term FROM terms) GROUP BY ALL),
@@ -215,7 +215,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "b13_min_length": f"SELECT conv_id, turn, CAST(length(t) AS int) AS n_chars FROM (SELECT conv_id, turn, {_full('text')} AS t FROM conversations) WHERE length(t) >= 10",
         "b14_normal_community": "SELECT comment_id, coalesce(lower(subreddit), 'unknown') AS subreddit FROM comments",
         "b15_projection": "SELECT comment_id, clean_body, subreddit FROM prepared",
-        "b16_keyword_masker": f"SELECT comment_id, array_to_string(list_transform(string_split(clean_body, ' '), w -> CASE WHEN w IN ({_list(ANXIETY.terms)}) THEN ' ' ELSE w END), ' ') AS masked FROM prepared",
+        "b16_keyword_masker": f"SELECT comment_id, array_to_string([CASE WHEN w IN ({_list(ANXIETY.terms)}) THEN ' ' ELSE w END FOR w IN string_split(clean_body, ' ')], ' ') AS masked FROM prepared",
         "b17_text_length": "SELECT comment_id, CAST(length(clean_body) AS int) AS text_len FROM prepared",
         "b18_time_keys": "SELECT comment_id, yyyy, coalesce(CASE WHEN comment_id % 9 <> 0 THEN mm END, 1) AS mm FROM comments WHERE yyyy IS NOT NULL",
         "b19_intensity_name": f"SELECT comment_id, ({names})[intensity_label + 1] AS intensity FROM levels",
@@ -238,7 +238,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "d07_temporal_split": "SELECT comment_id, yyyy, mm, split FROM by_time",
         "d08_folds": f"SELECT comment_id, label, CAST(ntile(3) OVER (PARTITION BY label ORDER BY {HASH}, comment_id) - 1 AS int) AS fold FROM prepared",
         "e01_tokens": "SELECT comment_id, array_to_string(regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}_]{2,}'), ' ') AS tokens FROM comments",
-        "e02_stop_words": f"SELECT comment_id, array_to_string(list_filter(regexp_extract_all(strip_accents(lower(clean_body)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), w -> w NOT IN ({_list(_stop_words())})), ' ') AS words FROM prepared",
+        "e02_stop_words": f"SELECT comment_id, array_to_string([w FOR w IN regexp_extract_all(strip_accents(lower(clean_body)), '[\\p{{L}}\\p{{N}}_]{{2,}}') IF w NOT IN ({_list(_stop_words())})], ' ') AS words FROM prepared",
         "e07_constant_fill": "SELECT comment_id, coalesce(mm, 0) AS mm FROM comments",
         "e08_min_max": "SELECT comment_id, round((length(clean_body) - lo) / (hi - lo)::double, 6) AS scaled FROM prepared CROSS JOIN (SELECT min(length(clean_body)) AS lo, max(length(clean_body)) AS hi FROM prepared WHERE yyyy = 2023)",
         "e09_most_frequent_fill": "SELECT comment_id, coalesce(subreddit, (SELECT subreddit FROM comments WHERE subreddit IS NOT NULL GROUP BY subreddit ORDER BY count(*) DESC, subreddit LIMIT 1)) AS subreddit FROM comments",
