@@ -1,0 +1,95 @@
+import hashlib
+import math
+
+import pytest
+from conftest import rows
+
+from textsignal.operators import sample
+
+
+@pytest.fixture(params=[100_000, 10], ids=["ranked whole", "by histogram"])
+def bucket(request, monkeypatch):
+    monkeypatch.setattr(sample, "ROWS_PER_BUCKET", request.param)
+
+
+def table(spark, n=500, partitions=7):
+    data = [(i, int(i % 5 == 0), 2023 + i % 2, 1 + i % 3) for i in range(n)]
+    return spark.createDataFrame(data, "comment_id long, label int, yyyy int, mm int").repartition(partitions)
+
+
+def order(i, seed=42):
+    return hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i
+
+
+def in_order(ids):
+    return sorted(ids, key=order)
+
+
+def test_top_k(spark, bucket):
+    found = {r[0] for r in sample.top_k_per_class(table(spark), 60).select("comment_id").collect()}
+    want = [in_order([i for i in range(500) if (i % 5 == 0) == one])[:60] for one in (True, False)]
+    assert found == set(want[0]) | set(want[1])
+
+
+def test_downsample(spark, bucket):
+    found = sample.downsample(table(spark), 2)
+    assert {r["label"]: r["count"] for r in found.groupBy("label").count().collect()} == {1: 100, 0: 200}
+    assert sample.downsample(table(spark), 9).count() == 500
+    assert sample.downsample(table(spark).filter("label = 0"), 3).count() == 0
+
+
+def test_published_quotas():
+    # Published class sizes and test rows.
+    assert sample.shares({0: 1259, 1: 82}, math.ceil(0.2 * 1341)) == {0: 253, 1: 16}
+    assert sample.shares({0: 1259, 1: 68, 2: 14}, 269) == {0: 252, 1: 14, 2: 3}
+
+
+def test_stratified(spark, bucket):
+    found = sample.stratified(table(spark), 0.2, 0.2)
+    counts = {(r["label"], r["split"]): r["count"] for r in found.groupBy("label", "split").count().collect()}
+    assert counts == {
+        (0, "test"): 80, (0, "validation"): 64, (0, "train"): 256,
+        (1, "test"): 20, (1, "validation"): 16, (1, "train"): 64,
+    }
+    test = {r[0] for r in found.filter("split = 'test' AND label = 1").select("comment_id").collect()}
+    assert test == set(in_order(range(0, 500, 5))[:20])
+
+
+def test_single_row_class_is_not_stratified(spark, bucket):
+    one = table(spark).selectExpr("comment_id", "int(comment_id = 3) AS label")
+    found = sample.stratified(one, 0.2)
+    test = {r[0] for r in found.filter("split = 'test'").select("comment_id").collect()}
+    assert test == set(in_order(range(500))[:100])
+
+
+@pytest.mark.parametrize("n", [1341, 500, 10, 1])
+def test_temporal(spark, n, bucket):
+    found = sample.temporal(table(spark, n), 0.7).collect()
+    cut = math.floor(n * 0.7)
+    want = sorted(range(n), key=lambda i: (2023 + i % 2, 1 + i % 3, *order(i)))[:cut]
+    assert {r["comment_id"] for r in found if r["split"] == "train"} == set(want)
+    assert len(found) == n
+    assert n != 1341 or cut == 938
+
+
+def test_folds(spark, bucket):
+    found = sample.folds(table(spark, 502), 3)
+    counts = {(r["label"], r["fold"]): r["count"] for r in found.groupBy("label", "fold").count().collect()}
+    assert counts == {(0, 0): 134, (0, 1): 134, (0, 2): 133, (1, 0): 34, (1, 1): 34, (1, 2): 33}
+
+
+def test_partition_layout_does_not_matter(spark, bucket):
+    for split in (
+        lambda df: sample.stratified(df, 0.2, 0.2), sample.temporal, sample.folds,
+        lambda df: sample.downsample(df, 1), lambda df: sample.top_k_per_class(df, 33),
+    ):
+        assert rows(split(table(spark, partitions=3))) == rows(split(table(spark, partitions=11)))
+
+
+@pytest.mark.parametrize("n, positives, allowed", [(50, 10, False), (51, 10, True), (400, 4, False), (400, 5, True)])
+def test_inner_validation(spark, n, positives, allowed):
+    df = spark.createDataFrame([(i, int(i < positives)) for i in range(n)], "comment_id long, label int")
+    found = sample.inner_validation(df)
+    assert sample.allows_validation(df) == allowed
+    assert found.filter("split = 'validation'").count() == (math.ceil(0.2 * n) if allowed else 0)
+    assert found.count() == n

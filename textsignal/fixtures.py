@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsignal.sources.tables import spread
+
 # The phrase for doc_id % 24.
 PHRASES = (
     "AI will replace my job and I am worried",
@@ -58,7 +60,7 @@ FROM {table}"""
 
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    documents = spread(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id")
     return spark.sql(comments_sql("{documents}"), documents=documents)
 
 

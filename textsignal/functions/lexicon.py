@@ -33,7 +33,7 @@ class Lexicon:
     whole_words: bool = True
 
     def pattern(self, term: str) -> str:
-        return whole_word(_escape(term)) if self.whole_words else _escape(term)
+        return whole_word(_escape(term), term[0]) if self.whole_words else _escape(term)
 
     @property
     def regex(self) -> str:

@@ -72,10 +72,9 @@ def hits(col: Column, lexicon: Lexicon) -> Column:
         return F.when(
             _contains_any(text, lexicon.needles), F.size(F.array_distinct(found))
         ).otherwise(0)
+    tests = [text.contains(t) for t in lexicon.terms]
     if lexicon.whole_words:
-        tests = [text.rlike(lexicon.pattern(t)) for t in lexicon.terms]
-    else:
-        tests = [text.contains(t) for t in lexicon.terms]
+        tests = [test & text.rlike(lexicon.pattern(t)) for test, t in zip(tests, lexicon.terms, strict=True)]
     return reduce(Column.__add__, [t.cast("int") for t in tests])
 
 

@@ -25,9 +25,24 @@ LABELLED = T.StructType([
 ])
 
 
+SMALL_INPUT = 32  # splits
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of a few file splits over all cores before the text is searched.
+
+    A single Parquet row group is one task, however many cores there are. An input of
+    ``SMALL_INPUT`` splits or more is left as it is: it would shuffle too much text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, SMALL_INPUT):
+        return df
+    return df.repartition(cores, key)
+
+
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
     """The comment table; ``yyyy``/``mm`` folders become columns and prune scans."""
-    return cast_period(spark.read.schema(COMMENTS).parquet(path))
+    return spread(cast_period(spark.read.schema(COMMENTS).parquet(path)), "comment_id")
 
 
 def cast_period(df: DataFrame) -> DataFrame:
@@ -37,8 +52,8 @@ def cast_period(df: DataFrame) -> DataFrame:
 
 
 def write_labelled(df: DataFrame, path: str) -> None:
-    """Parquet by month; rows of a month are spread over tasks, not sent to one."""
-    df.write.mode("overwrite").partitionBy("yyyy", "mm").parquet(path)
+    """Parquet by month. Files are levelled out: many small tasks share one, a hot month gets several."""
+    df.hint("rebalance", "yyyy", "mm").write.mode("overwrite").partitionBy("yyyy", "mm").parquet(path)
 
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "quoteAll": True,
