@@ -119,11 +119,26 @@ weights AS (SELECT *, ln((1 + (SELECT count(*) FROM terms)) / (1 + df)::double)
 """
 
 
-def _terms(tokens: str = "all_tokens", min_df: int = 2, size: int = 30_000) -> str:
-    filled = TERMS.replace("@tokens", tokens).replace("@min", str(min_df)).replace("@size", str(size))
+_UNMASKED = "clean_body AS shown"
+_MASKED = f"array_to_string([w FOR w IN string_split(clean_body, ' ') IF w NOT IN ({_list(ANXIETY.terms)})], ' ') AS shown"
+
+
+def _terms(tokens: str = "all_tokens", min_df: int = 2, size: int = 30_000, mask: bool = True) -> str:
+    shown = TERMS if mask else TERMS.replace(_MASKED, _UNMASKED)
+    filled = shown.replace("@tokens", tokens).replace("@min", str(min_df)).replace("@size", str(size))
     return CTES + filled.replace("@stop", _list(_stop_words()))
 
 
+def _entry_counts(mask: bool, columns: str = "") -> str:
+    """Non-zero slots per row: terms of the vocabulary, a length above the shortest, one community."""
+    return f"""{_terms(mask=mask)}, found AS (
+  SELECT comment_id, count(*) AS n FROM counted JOIN vocabulary USING (term) GROUP BY comment_id
+)
+SELECT comment_id, CAST(coalesce(n, 0) + CASE WHEN length(clean_body) > (SELECT min(length(clean_body)) FROM prepared) THEN 1 ELSE 0 END + 1 AS int) AS n_entries,
+  CAST((SELECT count(*) FROM vocabulary) + 1 + (SELECT count(DISTINCT subreddit) FROM prepared) AS int) AS n_slots{columns}
+FROM prepared LEFT JOIN found USING (comment_id)"""
+
+
 def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN 0.0::double ELSE ({a})::double / ({b}) END"
 
@@ -263,6 +278,8 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "e04_vocabulary": f"{_terms()}SELECT term, tf, df FROM vocabulary",
         "e05_idf": f"{_terms()}SELECT term, round(idf, 6) AS idf FROM weights",
         "e06_tfidf": f"{_terms()}SELECT comment_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY comment_id)), 6) AS weight FROM (SELECT comment_id, term, c.tf * idf AS x FROM counted c JOIN weights USING (term))",
+        "e11_assemble": _entry_counts(True),
+        "e12_variants": f"SELECT * FROM ({_entry_counts(True, ', ' + _quote('masked') + ' AS variant')}) UNION ALL SELECT * FROM ({_entry_counts(False, ', ' + _quote('unmasked') + ' AS variant')})",
         "x04_vocabulary_limits": f"{_terms('all_tokens[1:200]', 5, 20_000)}SELECT term, tf, df FROM vocabulary",
         "f06_best_threshold": f"{CTES}{CURVE}SELECT round(coalesce(max(threshold), 0.5::double), 6) AS threshold FROM (SELECT threshold FROM (SELECT threshold, tp / (tp + fp)::double AS p, tp / sizes.p::double AS r FROM points CROSS JOIN sizes) WHERE r >= 0.1::double ORDER BY 2 * p * r / (p + r + 1e-9) DESC, threshold LIMIT 1)",
         "g04_report": f"{CTES}{RATED}SELECT ({names})[c + 1] AS class_name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class UNION ALL SELECT 'accuracy', a, a, a, a FROM (SELECT round(sum(tp) / sum(support), 6) AS a FROM per_class) UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM per_class UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM per_class",
