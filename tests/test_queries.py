@@ -1,8 +1,15 @@
+import os
+import pathlib
+import subprocess
+import sys
+
 import pytest
 from compare import compare, connect
 from conftest import DATA
+from pyspark.ml.feature import StopWordsRemover
 
 import __spark_entry__ as entry
+from textsignal.functions.lexicon import STOP_WORDS
 from textsignal.plans import catalog
 from textsignal.session import shared_folder
 from textsignal.sources import tables
@@ -22,10 +29,28 @@ def con():
 
 
 def test_every_query_has_sql_or_fits_a_model():
-    assert set(entry.queries()) == set(SQL) | FITTED
+    assert set(catalog.QUERIES) == (set(SQL) & set(catalog.QUERIES)) | FITTED
+
+
+def test_sql_needs_neither_a_session_nor_the_installation(tmp_path):
+    code = (
+        "import builtins, sys; kept = builtins.open\n"
+        "import __spark_entry__ as e\n"
+        "def refuse(*a, **b): raise OSError(a)\n"
+        "builtins.open = refuse\n"
+        "import os, glob; glob.glob = os.listdir = os.scandir = refuse\n"
+        "sql = e.oracle_sql(); from pyspark.sql import SparkSession\n"
+        "assert SparkSession.getActiveSession() is None and len(sql) >= 77"
+    )
+    root = pathlib.Path(entry.__file__).parent
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"SPARK_HOME": str(tmp_path)})
+
+
+def test_stop_words_are_those_of_spark(spark):
+    assert list(STOP_WORDS) == StopWordsRemover.loadDefaultStopWords("english")
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) & set(catalog.QUERIES)))
 def test_query_equals_its_sql(spark, con, name):
     assert compare(spark, con, entry.queries()[name], SQL[name], FOLDER) is None
 

@@ -9,7 +9,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, SQLTransformer,
-    StopWordsRemover, StringIndexer, VectorAssembler,
+    StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsignal.functions import text
-from textsignal.functions.lexicon import ANXIETY, Lexicon
+from textsignal.functions.lexicon import ANXIETY, STOP_WORDS, Lexicon
 
 
 class _Stage(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -153,7 +153,7 @@ def one_hot(col: str, out: str) -> list:
 
 
 def default_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(STOP_WORDS)
 
 
 def pipeline(

@@ -7,16 +7,10 @@ where the engine avoids that. DuckDB's regular expressions have no look-around a
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from textsignal.fixtures import comments_sql
 from textsignal.functions.lexicon import (
     AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, COMMUNITIES, JOB, MODERATE, NEGATIONS,
-    OPTIMISM_SUBSTRINGS, SEVERE, Lexicon,
+    OPTIMISM_SUBSTRINGS, SEVERE, STOP_WORDS, Lexicon,
 )
 
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -62,13 +56,6 @@ def _bucket(score: str) -> str:
     return f"CASE WHEN {score} = 0 THEN 0 WHEN {score} = 1 THEN 1 WHEN {score} <= 3 THEN 2 ELSE 3 END"
 
 
-def _stop_words() -> list[str]:
-    """The stop list shipped with Spark."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def _type(col: str) -> str:
     cases = " ".join(f"WHEN lower({col}) IN ({_list(m)}) THEN '{k}'" for k, m in COMMUNITIES.items())
     return f"CASE {cases} ELSE 'other' END"
@@ -126,7 +113,7 @@ _MASKED = f"array_to_string([w FOR w IN string_split(clean_body, ' ') IF w NOT I
 def _terms(tokens: str = "all_tokens", min_df: int = 2, size: int = 30_000, mask: bool = True) -> str:
     shown = TERMS if mask else TERMS.replace(_MASKED, _UNMASKED)
     filled = shown.replace("@tokens", tokens).replace("@min", str(min_df)).replace("@size", str(size))
-    return CTES + filled.replace("@stop", _list(_stop_words()))
+    return CTES + filled.replace("@stop", _list(STOP_WORDS))
 
 
 def _entry_counts(mask: bool, columns: str = "") -> str:
@@ -253,7 +240,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "d07_temporal_split": "SELECT comment_id, yyyy, mm, split FROM by_time",
         "d08_folds": f"SELECT comment_id, label, CAST(ntile(3) OVER (PARTITION BY label ORDER BY {HASH}, comment_id) - 1 AS int) AS fold FROM prepared",
         "e01_tokens": "SELECT comment_id, array_to_string(regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}_]{2,}'), ' ') AS tokens FROM comments",
-        "e02_stop_words": f"SELECT comment_id, array_to_string([w FOR w IN regexp_extract_all(strip_accents(lower(clean_body)), '[\\p{{L}}\\p{{N}}_]{{2,}}') IF w NOT IN ({_list(_stop_words())})], ' ') AS words FROM prepared",
+        "e02_stop_words": f"SELECT comment_id, array_to_string([w FOR w IN regexp_extract_all(strip_accents(lower(clean_body)), '[\\p{{L}}\\p{{N}}_]{{2,}}') IF w NOT IN ({_list(STOP_WORDS)})], ' ') AS words FROM prepared",
         "e07_constant_fill": "SELECT comment_id, coalesce(mm, 0) AS mm FROM comments",
         "e08_min_max": "SELECT comment_id, round((length(clean_body) - lo) / (hi - lo)::double, 6) AS scaled FROM prepared CROSS JOIN (SELECT min(length(clean_body)) AS lo, max(length(clean_body)) AS hi FROM prepared WHERE yyyy = 2023)",
         "e09_most_frequent_fill": "SELECT comment_id, coalesce(subreddit, (SELECT subreddit FROM comments WHERE subreddit IS NOT NULL GROUP BY subreddit ORDER BY count(*) DESC, subreddit LIMIT 1)) AS subreddit FROM comments",
