@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsignal.llm import langid, mixing, syncmers, topk
+from textsignal.llm import langid, mixing, packing, syncmers, token_counts, topk
 
 # Production parameters of the mix: the hot source gets less than its share, two get more.
 MIX = {"src0": 2.0, "src1": 3.0, "src2": 3.0}
@@ -19,10 +19,25 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, folder, "documents"), MIX)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; every machine has the package that holds it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def tokenizer() -> str:
+    return vocabulary("byte_bpe_50k.json")
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(_read(spark, folder, "documents"))
 
 
+def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), tokenizer())
+
+
 def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -31,7 +46,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_read(spark, folder, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_fingerprints, op6_top_k, op8_language_id,
+    op1_mix_sources, op4_fingerprints, op5_pack, op6_top_k, op8_language_id, op9_token_counts,
 )}
 ORACLE_SQL = {"op1_mix_sources": mixing.oracle_sql(MIX), "op6_top_k": topk.ORACLE_SQL}
