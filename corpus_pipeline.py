@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsignal.llm import langid, mixing, packing
+from textsignal.llm import langid, line_dedup, mixing, ngram_join, packing
 from textsignal.llm.queries import MIX, tokenizer
 from textsignal.session import new_path
 
@@ -20,6 +20,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).filter("NOT rejected").select(docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; those of which nothing but white space is left go, if they had lines."""
+    short = line_dedup.dedup(docs)
+    some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")
+    return short.filter(some).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that n-gram links hold together."""
+    found = ngram_join.join(docs)
+    others = found.filter("NOT (doc_id <=> class_id)").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or dropped so that sources come to their target weights; copies are equal rows."""
     return mixing.mix_sources(docs, MIX).select(docs.columns)
@@ -32,6 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
     ("mix", mix),
     ("pack", pack),
 ]

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsignal.llm import bytebpe
 from textsignal.llm.common import pick
 from textsignal.sources.tables import cut_lineage
 
@@ -21,9 +19,6 @@ END = 0  # the id behind each document
 LADDER = 16  # middle lengths tried for each shortest length of a combination of three
 PASSES = 60  # of the solver
 RANKED = 4096  # pieces of one length that are numbered together
-PART = 1 << 16  # characters given to the tokenizer at once
-_CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
-_kept: dict[str, object] = {}
 
 
 def combinations(lengths: list[int], window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -118,55 +113,15 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
     return tuple(np.array(c, np.int64) for c in (zip(*rows) if rows else ([], [], [])))
 
 
-def parts(text: str) -> Iterator[str]:
-    """The text in parts of about ``PART`` characters, cut before a blank between letters or digits.
-
-    Byte-level tokenizers begin a new pre-token there, so the parts' ids in a row are the text's ids.
-    """
-    low = 0
-    while len(text) - low > PART and (m := _CUT.search(text, low + PART - 1)):
-        yield text[low:m.start()]
-        low = m.start()
-    yield text[low:]
-
-
-def _tokenizer(path: str):
-    if path not in _kept:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core
-        from tokenizers import Tokenizer
-
-        _kept[path] = Tokenizer.from_file(path)
-    return _kept[path]
-
-
-def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Parts of texts with their text's number, about ``PART`` characters at once."""
-    numbers, group, size = [], [], 0
-    for i, text in enumerate(texts):
-        for part in parts(text):
-            numbers.append(i)
-            group.append(part)
-            size += len(part)
-            if size >= PART:
-                yield numbers, group
-                numbers, group, size = [], [], 0
-    if group:
-        yield numbers, group
-
-
 def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Pieces of at most a window: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def run(batches):
-        own = _tokenizer(tokenizer)
         for b in batches:
-            ids: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
-            for numbers, group in _groups([t or "" for t in b.column("text").to_pylist()]):
-                for i, made in zip(numbers, own.encode_batch(group, add_special_tokens=False)):
-                    ids[i].append(np.array(made.ids, "<u4"))
             rows = []
-            for key, own_ids in zip(b.column("doc_id").to_pylist(), ids):
-                whole = np.concatenate([*own_ids, np.array([END], "<u4")])
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for key, ids in zip(b.column("doc_id").to_pylist(), bytebpe.encode(texts, tokenizer)):
+                whole = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(whole), window):
                     piece = whole[start:start + window]
                     rows.append((key, start, len(piece), zlib.crc32(piece.tobytes()), len(whole)))
