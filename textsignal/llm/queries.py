@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsignal.llm import langid, line_dedup, mixing, ngram_join, packing, syncmers, token_counts, topk
+from textsignal.llm import langid, line_dedup, lm, mixing, ngram_join, packing, syncmers, token_counts, topk
 
 # Production parameters of the mix: the hot source gets less than its share, two get more.
 MIX = {"src0": 2.0, "src1": 3.0, "src2": 3.0}
@@ -23,6 +23,10 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_read(spark, folder, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(_read(spark, folder, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file; every machine has the package that holds it."""
     import public_tokenizers
@@ -60,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_ngram_join, op4_fingerprints, op5_pack, op6_top_k, op8_language_id, op9_token_counts,
+    op1_mix_sources, op2_ngram_join, op3_lm_scores, op4_fingerprints, op5_pack, op6_top_k, op8_language_id, op9_token_counts,
     op10_line_dedup,
 )}
 ORACLE_SQL = {"op1_mix_sources": mixing.oracle_sql(MIX), "op6_top_k": topk.ORACLE_SQL}
