@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsignal.llm import langid, line_dedup, lm, mixing, ngram_join, packing, syncmers, token_counts, topk
+from textsignal.llm import langid, line_dedup, lm, mixing, ngram_join, packing, repeats, syncmers, token_counts, topk
 
 # Production parameters of the mix: the hot source gets less than its share, two get more.
 MIX = {"src0": 2.0, "src1": 3.0, "src2": 3.0}
@@ -50,6 +50,10 @@ def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.dedup(_read(spark, folder, "documents"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_read(spark, folder, "documents"))
 
@@ -64,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_ngram_join, op3_lm_scores, op4_fingerprints, op5_pack, op6_top_k, op8_language_id, op9_token_counts,
+    op1_mix_sources, op2_ngram_join, op3_lm_scores, op4_fingerprints, op5_pack, op6_top_k, op7_repeats, op8_language_id, op9_token_counts,
     op10_line_dedup,
 )}
 ORACLE_SQL = {"op1_mix_sources": mixing.oracle_sql(MIX), "op6_top_k": topk.ORACLE_SQL}
