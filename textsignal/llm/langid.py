@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsignal.llm.common import chunks, joined, pick, remainder
+from textsignal.llm.common import chunks, joined, pick, remainder, renamed
 
 GRAMS = (1, 2, 3, 4)  # bytes in a subword
 BITS = 14  # of a subword's bucket
@@ -172,9 +172,9 @@ def fit(labelled: DataFrame, train_rows: int = 2048, **settings) -> Model:
     ], **settings)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``lang_pred``, ``score`` and ``rejected`` beside all columns; needs a column ``text``."""
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``lang_pred``, ``score`` and ``rejected`` beside all columns, whose names must differ from these and each other."""
+    fields = docs.schema.fields
     names = [f.name for f in fields]
     handle = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS rows of one number a language
 
@@ -182,10 +182,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = handle.value
         known = np.array([*model.languages, UNKNOWN], object)
         for b in batches:
-            text = pc.fill_null(b.column("text"), "")
-            data, at = _lower(text)
+            texts = pc.fill_null(b.column(text), "")
+            data, at = _lower(texts)
             score, best = np.zeros(len(at) - 1), np.full(len(at) - 1, len(model.languages))
-            lettered = np.asarray(pc.match_substring_regex(text, LETTER))
+            lettered = np.asarray(pc.match_substring_regex(texts, LETTER))
             if model.languages:
                 for low, high in chunks(at):
                     p = model.scores(model.logits(data[at[low]:at[high]], at[low:high + 1] - at[low]))
@@ -219,3 +219,13 @@ def identify(
     held_out = remainder(F.col("id"), folds) == held
     model = fit(rows.filter(~held_out), train_rows, **settings)
     return predict(rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def recognised(
+    docs: DataFrame, *, train_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings,
+) -> DataFrame:
+    """The rows that aren't rejected by a model of a sample of all rows, with all their columns, whatever their names."""
+    plain, at = renamed(docs)
+    rows = plain.select(F.col(at[id_col]).alias("id"), F.col(at[text_col]).alias("text"), F.col(at[lang_col]).alias("lang"))
+    found = predict(plain, fit(rows, train_rows, **settings), at[text_col])
+    return found.filter("NOT rejected").select(plain.columns).toDF(*docs.columns)
