@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textsignal.llm.common import renamed
 from textsignal.sources.tables import cut_lineage
 
+MOST = 1 - 1e-12  # of the uniform number: rounded sums of the distribution function may never get beyond it
 MEAN = 500.0  # a larger mean is dealt with as a sum of independent parts: exp(-mean) must not vanish
 
 
@@ -22,7 +23,7 @@ def poisson(uniform: Column, mean: Column) -> Column:
     """The Poisson count whose distribution function first exceeds ``uniform``, for means up to ``MEAN``.
 
     The sum over the distribution function runs to twelve standard deviations and 60 more,
-    beyond what 52 random bits can reach.
+    beyond what a number up to ``MOST`` can reach.
     """
     last = F.ceil(mean + 12 * F.sqrt(mean) + 60).cast("int")
     first = F.exp(-mean)
@@ -88,7 +89,7 @@ def mix_sources(
     drawn = F.aggregate(
         F.sequence(F.lit(0), parts - 1), F.lit(0),
         lambda n, i: n + poisson(
-            _digits(F.lit(str(seed)), ident, i.cast("string"), n=13) / F.lit(2.0 ** 52), F.col("_rate") / parts
+            F.least(_digits(F.lit(str(seed)), ident, i.cast("string"), n=13) / F.lit(2.0 ** 52), F.lit(MOST)), F.col("_rate") / parts
         ),
     )
     copies = (
@@ -118,7 +119,8 @@ def oracle_sql(weights: Mapping[str, float], seed: int = 17) -> str:
   SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM steps
   WHERE k < ceil(rate + 12 * sqrt(rate) + 60) - 1
 ), drawn AS (
-  SELECT *, CAST(concat('0x', substr(md5(concat('{seed}:', doc_id, ':0')), 1, 13)) AS BIGINT) / pow(2.0::DOUBLE, 52) AS u FROM documents
+  SELECT *, least(CAST(concat('0x', substr(md5(concat('{seed}:', doc_id, ':0')), 1, 13)) AS BIGINT) / pow(2.0::DOUBLE, 52), {MOST!r}::DOUBLE) AS u
+  FROM documents
 ), counted AS (
   SELECT d.doc_id, count(s.k) AS n
   FROM drawn d LEFT JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.cdf <= d.u GROUP BY d.doc_id

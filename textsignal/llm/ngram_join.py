@@ -31,7 +31,8 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HA
     """
     best = None
     for rows in range(1, hashes + 1):
-        n = ceil(log(1 - recall) / log(1 - threshold ** rows))
+        share = threshold ** rows
+        n = ceil(log(1 - recall) / log(1 - share)) if share > 1e-9 else hashes + 1
         if n * rows <= hashes:
             best = n, rows
     if best is None:
