@@ -128,10 +128,12 @@ def brute_points(data):
     return out
 
 
-@pytest.fixture(params=[None, 7], ids=["one range", "many ranges"])
-def ranges(request, monkeypatch):
-    if request.param:
-        monkeypatch.setattr(evaluate, "SCORES_PER_BUCKET", request.param)
+@pytest.fixture(params=["true", "false"], ids=["ranges put together", "every range"])
+def ranges(request, spark):
+    """Spark puts small partitions together, or leaves the score ranges as they are dealt."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.fixture
@@ -153,6 +155,47 @@ def test_auc_is_null_with_one_class(spark, ranges):
     assert evaluate.auc(frame(spark, [(0, 0.2)])).first()[0] is None
 
 
+def test_auc_without_scores_is_null_and_nan_is_an_error(spark):
+    none = spark.createDataFrame([(1, None), (0, None)], "label int, score double")
+    assert evaluate.auc(none).first()[0] is None
+    some = spark.createDataFrame([(1, None), (1, 0.9), (0, 0.1), (0, None)], "label int, score double")
+    assert evaluate.auc(some).first()[0] == 1.0
+    with pytest.raises(Exception, match="NaN"):
+        evaluate.auc(spark.createDataFrame([(1, math.nan), (0, 0.2)], "label int, score double")).first()
+
+
+def test_a_model_without_scores_has_a_blank_cell(spark):
+    df = spark.createDataFrame([(1, None, 1), (0, None, 0), (0, None, 1)], "label int, score double, prediction int")
+    line = tables.markdown_rows(evaluate.binary_summary(df, "m", "s")).first()["line"]
+    assert line == "| m | s | 0.6667 | 0.5000 | 1.0000 | 0.6667 |  |"
+
+
+def test_each_result_reads_its_input_once(spark, data, tmp_path):
+    path = str(tmp_path / "scored")
+    evaluate.apply_threshold(frame(spark, data), 0.5).write.parquet(path)
+    df = spark.read.parquet(path)
+    table, matrix = evaluate.score_table(df), evaluate.confusion(df, [0, 1])
+
+    def scans(found):
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    for found in (evaluate.roc_curve(df), evaluate.pr_curve(df), evaluate.auc(table), evaluate.best_threshold(table),
+                  matrix, evaluate.confusion(df), evaluate.report(matrix), evaluate.mean_f1(matrix),
+                  evaluate.intensity_summary(df, "m", "s")):
+        assert scans(found) == 1
+    assert scans(evaluate.binary_summary(df, "m", "s", table)) == 2  # the rows and the score table
+
+
+def test_rows_and_their_tables_give_the_same(spark, data):
+    df = evaluate.apply_threshold(frame(spark, data), 0.5)
+    table, matrix = evaluate.score_table(df), evaluate.confusion(df, [0, 1])
+    assert evaluate.score_table(table) is table
+    assert rows(evaluate.binary(df)) == rows(evaluate.binary(matrix))
+    assert rows(evaluate.ordinal_mae(df)) == rows(evaluate.ordinal_mae(matrix))
+    assert rows(evaluate.binary_summary(df, "m", "s")) == rows(evaluate.binary_summary(matrix, "m", "s", table))
+    assert rows(evaluate.intensity_summary(df, "m", "s")) == rows(evaluate.intensity_summary(matrix, "m", "s"))
+
+
 def test_pr_curve(spark, data, ranges):
     n_pos = sum(y for y, _ in data)
     want = [(t, tp / (tp + fp), tp / n_pos) for t, tp, fp in brute_points(data)] + [(None, 1.0, 0.0)]

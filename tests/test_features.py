@@ -36,7 +36,7 @@ def expected(texts):
 def entries(model, df):
     names = features.feature_names(model)
     found = features.featurize(model, df).select(
-        "comment_id", features.vector_entries(F.col("features"), len(names)).alias("e")
+        "comment_id", features.vector_entries(F.col("features")).alias("e")
     ).orderBy("comment_id").collect()
     return [{names[e["slot"]]: e["value"] for e in r["e"]} for r in found]
 

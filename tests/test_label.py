@@ -73,6 +73,12 @@ def test_period_without_month_column(spark):
     assert rows(label.with_period(df)) == [(2023, 1)]
 
 
+def test_period_as_text_with_a_decimal_point(spark):
+    df = spark.createDataFrame([("2023.0", "7.0"), ("2024", "x"), (None, "1"), ("nan", "2"), ("2023", None)], "yyyy string, mm string")
+    assert rows(label.with_period(df)) == [(2023, 1), (2023, 7), (2024, 1)]
+    assert label.with_period(df.select("mm")).collect() == []
+
+
 def test_label_quality_rounds_half_to_even(spark):
     df = spark.createDataFrame([("fear", 1)] + [("fear worry", 1)] * 7, "body string, label int")
     assert tuple(profile.label_quality(df).first()) == (8, 1, 12)

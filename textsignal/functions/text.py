@@ -50,8 +50,8 @@ def merge_negations(col: Column, negations: Sequence[tuple[str, str]] = NEGATION
 
 
 def clean_full(lower: Column, negations: Sequence[tuple[str, str]] = NEGATIONS) -> Column:
-    """Links out of lower-case text, negations merged, every non-word run to one blank."""
-    merged = merge_negations(_without_links(lower, _FULL_URL), negations)
+    """Links out of lower-case text, negations merged, every non-word run to one blank; null gives empty text."""
+    merged = merge_negations(_without_links(F.coalesce(lower, F.lit("")), _FULL_URL), negations)
     return F.trim(F.regexp_replace(merged, _NON_WORDS, " "))
 
 
@@ -88,6 +88,11 @@ def mask(col: Column, lexicon: Lexicon) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), "(?i)" + lexicon.regex, " ")
 
 
+def whole_number(name: str) -> Column:
+    """The column's number, or its text read as one, as int, also with a decimal point; null where it is none."""
+    return F.expr(f"try_cast(try_cast({name} AS double) AS int)")
+
+
 def text_length(col: Column) -> Column:
     return F.length(F.coalesce(col, F.lit("")))
 

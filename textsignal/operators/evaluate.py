@@ -1,7 +1,9 @@
 """Metrics, curves and thresholds over a table of labels and scores.
 
 Counts come first: rows are pre-aggregated per score or per pair of classes, so one
-score or class that holds most rows is one row afterwards.
+score or class that holds most rows is one row afterwards. Functions of scores take rows or
+their ``score_table``, functions of predictions take rows or their ``confusion``, so that
+one read of the rows serves all of them.
 """
 
 from __future__ import annotations
@@ -9,14 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsignal.functions.lexicon import INTENSITY_NAMES
-
-SCORES_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1_000
+from textsignal.sources.tables import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -25,27 +24,23 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def score_table(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Running counts per different score.
+    """Running counts per different score, as a stored table.
 
     Columns: ``score, pos, neg`` at the score, ``tp, fp`` at or above it, the totals
     ``n_pos, n_neg``, and ``next_pos, next_neg`` at the next lower score (null at the last).
+    Null scores are left out; NaN is an error. A score table is returned as it is.
 
-    The running sum is done in score ranges of similar size: ranges are summed, the few
-    range sums are accumulated, and each range is accumulated on its own.
+    The counts are dealt to partitions by ranges of the score. Ranges are summed, the range sums, one for
+    each partition, are accumulated, and each range is accumulated on its own.
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    if {"tp", "fp", "next_pos"} <= set(df.columns):
+        return df
+    value = F.col(score).cast("double")
+    sound = F.when(F.isnan(value), F.raise_error(F.lit("a score is NaN")).cast("double")).otherwise(value)
+    counts = df.filter(value.isNotNull()).groupBy(sound.alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    steps = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    size = counts.agg(F.count("*").alias("n"), F.percentile_approx("score", steps, 10_000).alias("cuts")).first()
-    every = max(1, MAX_BUCKETS // (size["n"] // SCORES_PER_BUCKET + 1))
-    cuts = sorted(set((size["cuts"] or [])[every - 1 :: every]))
-    if size["n"] <= SCORES_PER_BUCKET:
-        cuts = []
-    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    parts = Bucketizer(splits=splits, inputCol="score", outputCol="part").transform(counts)
-    if not cuts:
-        parts = parts.withColumn("part", F.lit(0.0))
+    parts = cut_lineage(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
 
     high_first = Window.orderBy(F.col("part").desc())
     upto, everything = high_first.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
@@ -63,18 +58,18 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
     )
     inside = Window.partitionBy("part").orderBy(F.col("score").desc())
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return parts.join(F.broadcast(ranges), "part").select(
+    return cut_lineage(parts.join(F.broadcast(ranges), "part").select(
         "score", "pos", "neg",
         (F.col("tp_above") + F.sum("pos").over(running)).alias("tp"),
         (F.col("fp_above") + F.sum("neg").over(running)).alias("fp"),
         "n_pos", "n_neg",
         F.coalesce(F.lead("pos").over(inside), F.col("next_top.pos")).alias("next_pos"),
         F.coalesce(F.lead("neg").over(inside), F.col("next_top.neg")).alias("next_neg"),
-    )
+    ), "score-table")
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """``roc_auc`` by the rank sum, ties counted half; null with a single class."""
+    """``roc_auc`` by the rank sum, ties counted half; null with a single class or without scores."""
     wins = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
     return score_table(df, label, score).agg(
         F.try_divide(F.sum(wins), F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc")
@@ -83,35 +78,31 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``threshold, fpr, tpr``: corner points only, and the start at (0, 0) with threshold infinity."""
-    table = score_table(df, label, score)
+    def point(threshold: Column, fpr: Column, tpr: Column) -> Column:
+        return F.struct(threshold.alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
-    points = table.filter(first | F.col("next_pos").isNull() | bend).select(
-        F.col("score").alias("threshold"),
-        F.try_divide("fp", "n_neg").alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"), first.alias("_first"),
-    )
-    start = points.filter("_first").select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return points.drop("_first").unionByName(start)
+    own = point(F.col("score"), F.try_divide("fp", "n_neg"), F.try_divide("tp", "n_pos"))
+    start = point(F.lit(float("inf")), F.lit(0.0), F.lit(0.0))
+    corners = score_table(df, label, score).filter(first | F.col("next_pos").isNull() | bend)
+    return corners.select(F.inline(F.when(first, F.array(start, own)).otherwise(F.array(own))))
 
 
-def _precision_recall(table: DataFrame) -> DataFrame:
-    return table.select(
+def _precision_recall() -> list[Column]:
+    return [
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.try_divide("tp", "n_pos").alias("recall"),
-    )
+    ]
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``threshold, precision, recall`` per score, and the end point (1, 0) without threshold."""
-    points = _precision_recall(score_table(df, label, score))
-    end = points.agg(
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-    )
-    return points.unionByName(end)
+    own = F.struct(*_precision_recall())
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    last = F.col("next_pos").isNull()
+    return score_table(df, label, score).select(F.inline(F.when(last, F.array(own, end)).otherwise(F.array(own))))
 
 
 def pr_baseline(df: DataFrame, label: str = "label") -> DataFrame:
@@ -126,7 +117,7 @@ def best_threshold(
     The lowest score wins ties; ``default`` where no score qualifies.
     """
     p, r = F.col("precision"), F.col("recall")
-    points = _precision_recall(score_table(df, label, score)).filter(r >= min_recall)
+    points = score_table(df, label, score).select(*_precision_recall()).filter(r >= min_recall)
     f1 = 2 * p * r / (p + r + 1e-9)
     best = F.max_by("threshold", F.struct(f1, -F.col("threshold")))
     return points.agg(F.coalesce(best, F.lit(default)).alias("threshold"))
@@ -141,12 +132,23 @@ def apply_threshold(df: DataFrame, threshold: float | Column, score: str = "scor
     )
 
 
+def _cells(df: DataFrame, label: str, prediction: str) -> tuple[Column, Column, Column]:
+    """Actual class, predicted class and number of rows: of a row, or of a cell of a confusion table."""
+    if {"actual", "predicted", "count"} <= set(df.columns):
+        return F.col("actual"), F.col("predicted"), F.col("count")
+    return F.col(label), F.col(prediction), F.lit(1)
+
+
+def _total(condition: Column, n: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, n).otherwise(0)), F.lit(0))
+
+
 def binary(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``accuracy, precision, recall, f1`` of class 1; 0 where a denominator is 0."""
-    y, p = F.col(label), F.col(prediction)
+    y, p, n = _cells(df, label, prediction)
     counts = df.agg(
-        F.count("*").alias("n"), F.count_if(y == p).alias("hit"), F.count_if((y == 1) & (p == 1)).alias("tp"),
-        F.count_if(p == 1).alias("said"), F.count_if(y == 1).alias("real"),
+        _total(F.lit(True), n).alias("n"), _total(y == p, n).alias("hit"), _total((y == 1) & (p == 1), n).alias("tp"),
+        _total(p == 1, n).alias("said"), _total(y == 1, n).alias("real"),
     )
     return counts.select(
         ratio(F.col("hit"), F.col("n")).alias("accuracy"),
@@ -159,24 +161,26 @@ def binary(df: DataFrame, label: str = "label", prediction: str = "prediction")
 def confusion(
     df: DataFrame, classes: Sequence[int] | None = None, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """``actual, predicted, count`` for every pair of classes, empty pairs included."""
-    pairs = df.groupBy(F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted"))
-    counts = pairs.agg(F.count("*").alias("count"))
+    """``actual, predicted, count`` for every pair of classes, empty pairs included.
+
+    The counts, one for each pair, meet in one row, from which the grid is laid out.
+    """
+    counts = df.groupBy(F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted")).agg(
+        F.count("*").alias("count"))
+    met = counts.agg(F.collect_list(F.struct("actual", "predicted", "count")).alias("cells"))
     if classes is None:
-        both = counts.select(F.explode(F.array("actual", "predicted")).alias("c"))
-        known = both.agg(F.array_sort(F.collect_set("c")).alias("classes"))
+        known = F.array_sort(F.array_compact(F.array_distinct(F.concat("cells.actual", "cells.predicted"))))
     else:
-        known = counts.agg(F.array(*[F.lit(int(c)) for c in classes]).alias("classes"))
-    grid = known.select(F.explode("classes").alias("actual"), "classes").select(
-        "actual", F.explode("classes").alias("predicted")
-    )
-    return grid.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")
+        known = F.array(*[F.lit(int(c)) for c in classes])
+    grid = met.withColumn("classes", known).withColumn("actual", F.explode("classes")).withColumn("predicted", F.explode("classes"))
+    own = F.filter("cells", lambda c: (c["actual"] == F.col("actual")) & (c["predicted"] == F.col("predicted")))
+    return grid.select(
+        "actual", "predicted", F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["count"]).alias("count")
     )
 
 
 def _class_scores(matrix: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class of a confusion table."""
+    """Precision, recall, F1, support and summed distance per class of a confusion table."""
     rows = matrix.select(
         F.explode(
             F.array(
@@ -185,15 +189,17 @@ def _class_scores(matrix: DataFrame) -> DataFrame:
             )
         ).alias("side"),
         (F.col("actual") == F.col("predicted")).alias("hit"), "count",
+        (F.abs(F.col("actual") - F.col("predicted")) * F.col("count")).alias("distance"),
     )
     real, n = F.col("side.real"), F.col("count")
     sums = rows.groupBy(F.col("side.class").alias("class_id")).agg(
         F.sum(F.when(real & F.col("hit"), n).otherwise(0)).alias("tp"),
         F.sum(F.when(real, n).otherwise(0)).alias("real"),
         F.sum(F.when(~real, n).otherwise(0)).alias("said"),
+        F.sum(F.when(real, F.col("distance")).otherwise(0)).alias("distance"),
     )
     return sums.select(
-        "class_id", "tp",
+        "class_id", "tp", "distance",
         ratio(F.col("tp"), F.col("said")).alias("precision"),
         ratio(F.col("tp"), F.col("real")).alias("recall"),
         ratio(2 * F.col("tp"), F.col("said") + F.col("real")).alias("f1"),
@@ -209,27 +215,24 @@ def report(matrix: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
 
     ``position`` orders the rows. The accuracy row repeats the accuracy in every column.
     """
-    scores = _class_scores(matrix)
     name = F.col("class_id").cast("string")
     if names is not None:
         name = F.element_at(F.array(*map(F.lit, names)), F.col("class_id") + 1)
-    per_class = scores.select(F.col("class_id").alias("position"), name.alias("class_name"), *_RATES, "support")
-
     total = F.sum("support")
     accuracy = ratio(F.sum("tp"), total)
 
-    def summary(position: int, title: str, values: Sequence[Column]) -> Column:
+    def line(position: Column, title: Column, values: Sequence[Column]) -> Column:
         cells = [v.alias(c) for v, c in zip(values, (*_RATES, "support"), strict=True)]
-        return F.struct(F.lit(position).alias("position"), F.lit(title).alias("class_name"), *cells)
-
-    summaries = scores.agg(
-        F.array(
-            summary(1001, "accuracy", [accuracy] * 4),
-            summary(1002, "macro avg", [*[F.avg(c) for c in _RATES], total]),
-            summary(1003, "weighted avg", [*[ratio(F.sum(F.col(c) * F.col("support")), total) for c in _RATES], total]),
-        ).alias("rows")
+        return F.struct(position.cast("int").alias("position"), title.alias("class_name"), *cells)
+
+    per_class = F.collect_list(line(F.col("class_id"), name, [*map(F.col, _RATES), F.col("support")]))
+    summaries = F.array(
+        line(F.lit(1001), F.lit("accuracy"), [accuracy] * 4),
+        line(F.lit(1002), F.lit("macro avg"), [*[F.avg(c) for c in _RATES], total]),
+        line(F.lit(1003), F.lit("weighted avg"), [*[ratio(F.sum(F.col(c) * F.col("support")), total) for c in _RATES], total]),
     )
-    return per_class.unionByName(summaries.select(F.inline("rows"))).orderBy("position")
+    rows = _class_scores(matrix).agg(per_class.alias("classes"), summaries.alias("summaries"))
+    return rows.select(F.inline(F.concat("classes", "summaries"))).orderBy("position")
 
 
 def intensity_report(matrix: DataFrame) -> DataFrame:
@@ -245,24 +248,32 @@ def mean_f1(matrix: DataFrame) -> DataFrame:
 
 
 def ordinal_mae(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.agg(F.avg(F.abs(F.col(label) - F.col(prediction))).alias("mae"))
+    y, p, n = _cells(df, label, prediction)
+    return df.agg(F.try_divide(F.sum(F.abs(y - p) * n), F.sum(n)).alias("mae"))
 
 
-def binary_summary(df: DataFrame, model: str, split: str) -> DataFrame:
-    """One summary row of a scored table, four decimals."""
-    return _summary_row([binary(df), auc(df)], model, split)
+def _summary_row(found: DataFrame, model: str, split: str, *more: Column) -> DataFrame:
+    key = [F.lit(model).alias("model_name"), F.lit(split).alias("split_name")]
+    return found.select(*key, *[F.round(c, 4).alias(c) for c in found.columns], *more)
 
 
-def intensity_summary(df: DataFrame, model: str, split: str) -> DataFrame:
-    right = ratio(F.count_if(F.col("label") == F.col("prediction")), F.count("*"))
-    frames = [df.agg(right.alias("accuracy")), mean_f1(confusion(df)), ordinal_mae(df)]
-    return _summary_row(frames, model, split)
+def binary_summary(df: DataFrame, model: str, split: str, scores: DataFrame | None = None) -> DataFrame:
+    """One summary row, four decimals; ``df`` is scored rows, or their confusion beside their score table."""
+    area = auc(df if scores is None else scores).select("roc_auc").scalar()
+    return _summary_row(binary(df), model, split, F.round(area, 4).alias("roc_auc"))
 
 
-def _summary_row(frames: Sequence[DataFrame], model: str, split: str) -> DataFrame:
-    key = [F.lit(model).alias("model_name"), F.lit(split).alias("split_name")]
-    values = [F.round(f.select(c).scalar(), 4).alias(c) for f in frames for c in f.columns]
-    return frames[0].select(*key, *values)
+def intensity_summary(df: DataFrame, model: str, split: str) -> DataFrame:
+    """One summary row of predicted rows or their confusion, four decimals."""
+    matrix = df if {"actual", "predicted"} <= set(df.columns) else confusion(df)
+    total = F.sum("support")
+    found = _class_scores(matrix).agg(
+        ratio(F.sum("tp"), total).alias("accuracy"),
+        F.avg("f1").alias("macro_f1"),
+        ratio(F.sum(F.col("f1") * F.col("support")), total).alias("weighted_f1"),
+        F.try_divide(F.sum("distance"), total).alias("mae"),
+    )
+    return _summary_row(found, model, split)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

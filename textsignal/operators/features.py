@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -15,7 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsignal.functions import text
@@ -67,20 +66,36 @@ class TermExtractor(_Stage, Transformer):
 
 
 def term_counts(df: DataFrame, terms: str) -> DataFrame:
-    """``term, tf, df``: occurrences and texts per term, in one pass and one shuffle."""
+    """``term, tf, df``: occurrences and texts per term, in one pass and one shuffle; the null term counts all texts."""
     def marked(words: Column, tf: int) -> Column:
         return F.transform(
             words, lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(1 - tf).alias("df"))
         )
 
-    both = F.concat(marked(F.col(terms), 1), marked(F.array_distinct(terms), 0))
-    return df.select(F.inline(both)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    text_itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    all_ = F.concat(marked(F.col(terms), 1), marked(F.array_distinct(terms), 0), text_itself)
+    return df.select(F.inline(all_)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def vocabulary(df: DataFrame, terms: str, n_texts: int, min_df: int, max_df: float, size: int) -> DataFrame:
-    """The ``size`` most frequent terms within the text-frequency limits, ties in term order."""
-    inside = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_texts)
-    return term_counts(df, terms).filter(inside).orderBy(F.desc("tf"), "term").limit(size)
+def vocabulary(df: DataFrame, terms: str, min_df: int, max_df: float, size: int) -> DataFrame:
+    """``term, tf, df, idf`` of the ``size`` most frequent terms within the text-frequency limits, ties in term order.
+
+    The smoothed idf is ``ln((1 + n) / (1 + df)) + 1``. The number of texts n comes from the counts' own
+    null term, so the texts are read once.
+    """
+    counts = term_counts(df, terms)
+    n = F.coalesce(counts.filter("term IS NULL").select("df").scalar(), F.lit(0))
+    inside = F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
+    found = counts.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1).filter(inside)
+    return found.orderBy(F.desc("tf"), "term").limit(size)
+
+
+def term_weights(df: DataFrame, key: str, terms: str, words: DataFrame) -> DataFrame:
+    """``key, term, weight``: the L2-normal TF-IDF entries of each text as rows, over the terms of a vocabulary."""
+    tf = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    raw = tf.join(words.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 class TermWeights(_Stage, Estimator):
@@ -94,17 +109,15 @@ class TermWeights(_Stage, Estimator):
     size = Param(Params._dummy(), "size", "largest vocabulary", TypeConverters.toInt)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        n = df.count()
         limits = [self.getOrDefault(p) for p in (self.minDF, self.maxDF, self.size)]
-        found = vocabulary(df, self.getInputCol(), n, *limits).collect()
+        found = vocabulary(df, self.getInputCol(), *limits).collect()
         if not found:
             raise ValueError("empty vocabulary: no term is within the text-frequency limits")
-        idf = [math.log((1 + n) / (1 + row["df"])) + 1 for row in found]
         out = self.getOutputCol()
         counter = CountVectorizerModel.from_vocabulary(
             [row["term"] for row in found], inputCol=self.getInputCol(), outputCol=f"_{out}_tf"
         )
-        weigher = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"_{out}_tf", outputCol=f"_{out}_idf")
+        weigher = ElementwiseProduct(scalingVec=Vectors.dense([row["idf"] for row in found]), inputCol=f"_{out}_tf", outputCol=f"_{out}_idf")
         return PipelineModel(stages=[counter, weigher, Normalizer(p=2.0, inputCol=f"_{out}_idf", outputCol=out)])
 
 
@@ -199,20 +212,9 @@ def feature_names(model: PipelineModel) -> list[str]:
     return [f"text__{t}" for t in terms] + ["meta__text_len"] + [f"subreddit__x0_{c}" for c in communities]
 
 
-def vector_entries(col: Column, size: int) -> Column:
-    """Non-zero ``(slot, value)`` pairs of a vector column.
-
-    Read from the vector's text form, so the cost follows the entries and not the size.
-    """
-    printed = col.cast("string")
-    parts = F.split(F.regexp_replace(printed, r"^\(\d+,\[|\]\)$", ""), r"\],\[")
-    slots = F.from_json(F.concat(F.lit("["), parts[0], F.lit("]")), "array<int>")
-    values = F.from_json(F.concat(F.lit("["), parts[1], F.lit("]")), "array<double>")
-    dense = F.from_json(printed, "array<double>")
-    every = F.sequence(F.lit(0), F.lit(size - 1))
-    is_sparse = printed.startswith("(")
-    pairs = F.arrays_zip(
-        F.when(is_sparse, slots).otherwise(every).alias("slot"),
-        F.when(is_sparse, values).otherwise(dense).alias("value"),
-    )
+def vector_entries(col: Column) -> Column:
+    """Non-zero ``(slot, value)`` pairs of a vector column, from its slots and values."""
+    vector = F.unwrap_udt(col)
+    slots = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    pairs = F.arrays_zip(slots.alias("slot"), vector["values"].alias("value"))
     return F.filter(pairs, lambda e: e["value"] != 0)

@@ -55,8 +55,10 @@ def with_intensity(df: DataFrame) -> DataFrame:
     return with_severity(df).withColumn("intensity_label", intensity_bucket(F.col("severity_score")))
 
 
-def merge_rare(df: DataFrame, min_rows: int = 5, label: str = "intensity_label") -> DataFrame:
-    """Move level 3 into 2, then 2 into 1, where a level has fewer than ``min_rows`` rows."""
+def merge_rare(
+    df: DataFrame, min_rows: int = 5, label: str = "intensity_label", out: str | None = None
+) -> DataFrame:
+    """Move level 3 into 2, then 2 into 1, where a level has fewer than ``min_rows`` rows; ``out`` keeps the old level."""
     high = F.count_if(F.col(label) == 3)
     medium = F.count_if(F.col(label) == 2)
     high_goes = high < min_rows
@@ -64,7 +66,7 @@ def merge_rare(df: DataFrame, min_rows: int = 5, label: str = "intensity_label")
     rule = df.agg(F.struct(high_goes.alias("high"), medium_goes.alias("medium"))).scalar()
     from_high = F.when(rule["high"], 2).otherwise(3)
     merged = F.when(F.col(label) == 3, from_high).otherwise(F.col(label))
-    return df.withColumn(label, F.when((merged == 2) & rule["medium"], 1).otherwise(merged))
+    return df.withColumn(out or label, F.when((merged == 2) & rule["medium"], 1).otherwise(merged))
 
 
 def intensity_name(level: Column) -> Column:
@@ -99,9 +101,8 @@ def prepare(df: DataFrame) -> DataFrame:
 
 
 def with_period(df: DataFrame) -> DataFrame:
-    """Rows with a year; year and month as int, a missing month counts as 1."""
-    month = F.expr("try_cast(mm AS int)") if "mm" in df.columns else F.lit(None).cast("int")
-    year = F.expr("try_cast(yyyy AS int)")
+    """Rows with a year; year and month as int, a missing month counts as 1. A table without years has none."""
+    year, month = (text.whole_number(c) if c in df.columns else F.lit(None).cast("int") for c in ("yyyy", "mm"))
     return df.filter(year.isNotNull()).withColumns(
         {"yyyy": year, "mm": F.coalesce(month, F.lit(1))}
     )

@@ -41,9 +41,9 @@ def _keys_at(
 ) -> dict[tuple, Column]:
     """The row key at each wanted rank of each class, as literals.
 
-    Classes beyond ``ROWS_PER_BUCKET`` rows are not ranked whole. A histogram over the
-    first hash digits finds the bucket in which a rank lies, and only that bucket is
-    ranked. The number of digits follows the class size, so buckets stay small.
+    No class is ranked whole. A histogram over the first hash digits finds the bucket in
+    which a rank lies, and only that bucket is ranked. The number of digits follows the
+    class size, so buckets stay small.
     """
     wanted = [(value, rank) for value, all_ranks in ranks.items() for rank in all_ranks]
     if not wanted:
@@ -52,25 +52,22 @@ def _keys_at(
     places = F.broadcast(df.sparkSession.createDataFrame(wanted, schema)).withColumn("rank", F.col("place"))
     keyed = df.filter(F.col(by).isin(list(ranks))).select(by, _row_key(seed, id_col).alias("key"))
     keyed = keyed.select(by, "key.*")
-    digits = 0
+    digits = 1
     while largest > ROWS_PER_BUCKET * 16**digits:
         digits += 1
-    bucket = F.substring("hash", 1, digits)
-    keyed = keyed.withColumn("bucket", bucket)
-    if digits:
-        histogram = keyed.groupBy(by, "bucket").agg(F.count("*").alias("rows"))
-        upto = F.sum("rows").over(Window.partitionBy(by).orderBy("bucket"))
-        places = F.broadcast(
-            histogram.withColumn("before", upto - F.col("rows"))
-            .join(places, by)
-            .withColumn("place", F.col("rank") - F.col("before"))
-            .filter(F.col("place").between(1, F.col("rows")))
-            .select(by, "bucket", "place", "rank")
-        )
-        keyed = keyed.join(places.select(by, "bucket").distinct(), [by, "bucket"])
-    on = [by, "bucket", "place"] if digits else [by, "place"]
+    keyed = keyed.withColumn("bucket", F.substring("hash", 1, digits))
+    histogram = keyed.groupBy(by, "bucket").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(by).orderBy("bucket"))
+    places = F.broadcast(  # a row for each wanted rank
+        histogram.withColumn("before", upto - F.col("rows"))
+        .join(places, by)
+        .withColumn("place", F.col("rank") - F.col("before"))
+        .filter(F.col("place").between(1, F.col("rows")))
+        .select(by, "bucket", "place", "rank")
+    )
+    keyed = keyed.join(places.select(by, "bucket").distinct(), [by, "bucket"])
     order = Window.partitionBy(by, "bucket").orderBy("hash", "id")
-    found = keyed.withColumn("place", F.row_number().over(order).cast("long")).join(places, on)
+    found = keyed.withColumn("place", F.row_number().over(order).cast("long")).join(places, [by, "bucket", "place"])
     return {
         (row[by], row["rank"]): F.struct(F.lit(row["hash"]), F.lit(row["id"]).cast("long"))
         for row in found.select(by, "rank", "hash", "id").collect()

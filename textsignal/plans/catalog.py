@@ -190,9 +190,8 @@ def _(spark, folder):
 @query("b10_merge_rare")
 def _(spark, folder):
     rows = cut_lineage(levels(spark, folder).select("comment_id", "intensity_label"), "levels")
-    few = label.merge_rare(rows, 5).withColumnRenamed("intensity_label", "merged_5")
-    many = label.merge_rare(rows, 50).withColumnRenamed("intensity_label", "merged_50")
-    return few.join(many, "comment_id")
+    merged = label.merge_rare(label.merge_rare(rows, 5, out="merged_5"), 50, out="merged_50")
+    return merged.select("comment_id", "merged_5", "merged_50")
 
 
 row_query("b11_community_type", subreddit_type=lambda: label.community_type(F.col("subreddit")))
@@ -236,8 +235,12 @@ def _(spark, folder):
 
 @query("b18_time_keys")
 def _(spark, folder):
-    month = F.when(F.col("comment_id") % 9 == 0, "x").otherwise(F.col("mm").cast("string"))
-    raw = fixtures.comments(spark, folder).withColumns({"yyyy": F.col("yyyy").cast("string"), "mm": month})
+    """Years and months as text, some as a column with gaps is written: 2023.0, 7.0."""
+    place = F.col("comment_id") % 9
+    month = F.when(place == 0, "x").when(place == 1, F.concat(F.col("mm").cast("string"), F.lit(".0"))).when(
+        place != 2, F.col("mm").cast("string"))
+    year = F.when(place == 3, F.concat(F.col("yyyy").cast("string"), F.lit(".0"))).otherwise(F.col("yyyy").cast("string"))
+    raw = fixtures.comments(spark, folder).withColumns({"yyyy": year, "mm": month})
     return label.with_period(raw).select("comment_id", "yyyy", "mm")
 
 
@@ -396,33 +399,25 @@ def _(spark, folder):
     return rows.select("comment_id", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
 
 
-@query("e04_vocabulary")
-def _(spark, folder):
-    rows = cut_lineage(terms(spark, folder).select("terms"), "terms")
-    return features.vocabulary(rows, "terms", rows.count(), 2, 0.95, 30_000)
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return features.vocabulary(terms(spark, folder), "terms", 2, 0.95, 30_000)
 
 
-def _term_weights(rows: DataFrame):
-    return features.TermWeights(inputCol="terms", outputCol="vector", minDF=2, maxDF=0.95, size=30_000).fit(rows)
+@query("e04_vocabulary")
+def _(spark, folder):
+    return vocabulary(spark, folder).select("term", "tf", "df")
 
 
 @query("e05_idf")
 def _(spark, folder):
-    model = _term_weights(cut_lineage(terms(spark, folder).select("terms"), "terms"))
-    pairs = zip(model.stages[0].vocabulary, model.stages[1].getScalingVec().toArray().tolist(), strict=True)
-    return spark.createDataFrame(list(pairs), "term string, idf double").select("term", F.round("idf", 6).alias("idf"))
+    return vocabulary(spark, folder).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query("e06_tfidf")
 def _(spark, folder):
-    rows = cut_lineage(terms(spark, folder).select("comment_id", "terms"), "terms")
-    model = _term_weights(rows)
-    words = model.stages[0].vocabulary
-    names = spark.createDataFrame(list(enumerate(words)), "slot int, term string")
-    entries = model.transform(rows).select(
-        "comment_id", F.inline(features.vector_entries(F.col("vector"), len(words)))
-    )
-    return entries.join(F.broadcast(names), "slot").select("comment_id", "term", F.round("value", 6).alias("weight"))
+    words = cut_lineage(vocabulary(spark, folder), "vocabulary")
+    found = features.term_weights(terms(spark, folder), "comment_id", "terms", F.broadcast(words))  # at most 30,000 terms
+    return found.select("comment_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("e07_constant_fill")
@@ -451,7 +446,7 @@ def _(spark, folder):
     indexer, encoder = features.one_hot("subreddit", "hot")
     seen = indexer.fit(rows.filter("label = 1 AND subreddit <> 'other'"))
     coded = encoder.fit(seen.transform(rows)).transform(seen.transform(rows))
-    slots = features.vector_entries(F.col("hot"), len(seen.labels))
+    slots = features.vector_entries(F.col("hot"))
     return coded.select("comment_id", "subreddit", F.coalesce(F.try_element_at(slots, F.lit(1))["slot"], F.lit(-1)).alias("slot"))
 
 
@@ -459,7 +454,7 @@ def _entry_counts(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
     model = features.pipeline(**options).fit(rows)
     size = len(features.feature_names(model))
     vectors = features.featurize(model, rows)
-    count = F.size(features.vector_entries(F.col("features"), size))
+    count = F.size(features.vector_entries(F.col("features")))
     return vectors.select("comment_id", count.alias("n_entries"), F.lit(size).alias("n_slots"))
 
 
@@ -478,9 +473,9 @@ def _(spark, folder):
 # Models
 
 def _binary_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    split = cut_lineage(sample.stratified(modelling(spark, folder), 0.2, 0.2), "split")
+    split = sample.stratified(modelling(spark, folder), 0.2, 0.2)
     train = sample.downsample(split.filter("split = 'train'").drop("split"), 3)
-    return cut_lineage(models.with_svm_folds(train), "train"), split.filter("split = 'test'").drop("split")
+    return models.with_svm_folds(train), split.filter("split = 'test'").drop("split")
 
 
 def _scores(spark: SparkSession, folder: str, build: models.Builder) -> DataFrame:
@@ -567,7 +562,7 @@ def _(spark, folder):
 
 @query("f10_refit_temporal")
 def _(spark, folder):
-    split = cut_lineage(sample.temporal(label.with_period(modelling(spark, folder))), "by-time")
+    split = sample.temporal(label.with_period(modelling(spark, folder)))
     early, late = (split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     fitted, _ = jobs.train_binary(early, models.build_logistic, 1.0, "balanced")
     return fitted.score(late).select("comment_id", "label", "score", "prediction")
@@ -599,7 +594,7 @@ def _(spark, folder):
 
 @query("g05_roc_curve")
 def _(spark, folder):
-    points = evaluate.roc_curve(scored(spark, folder)).filter(F.col("threshold") != float("inf"))
+    points = evaluate.roc_curve(scored(spark, folder))
     return points.select(*[F.round(c, 6).alias(c) for c in points.columns])
 
 
@@ -633,9 +628,10 @@ def _(spark, folder):
 
 
 def summaries(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cut_lineage(fixtures.scored(spark, folder), "scored")
+    rows = fixtures.scored(spark, folder)
+    scores = evaluate.score_table(rows)
     return evaluate.union_all([
-        evaluate.binary_summary(evaluate.apply_threshold(rows, t), "length", f"at_{t}") for t in (0.3, 0.5, 0.7)
+        evaluate.binary_summary(evaluate.apply_threshold(rows, t), "length", f"at_{t}", scores) for t in (0.3, 0.5, 0.7)
     ])
 
 
@@ -661,8 +657,7 @@ def _(spark, folder):
 
 @query("x04_vocabulary_limits")
 def _(spark, folder):
-    rows = cut_lineage(terms(spark, folder, max_tokens=200).select("terms"), "terms")
-    return features.vocabulary(rows, "terms", rows.count(), 5, 0.95, 20_000)
+    return features.vocabulary(terms(spark, folder, max_tokens=200), "terms", 5, 0.95, 20_000).select("term", "tf", "df")
 
 
 @query("x05_fixed_penalty")
@@ -684,8 +679,7 @@ def _(spark, folder):
 @query("x06_stages")
 def _(spark, folder):
     out = new_path(spark, "job")
-    jobs.label_job(spark, fixtures.comments(spark, folder), out, sample_size=400)
-    counts = [
-        spark.read.parquet(f"{out}/{s}").agg(F.lit(s).alias("stage"), F.count("*").alias("n")) for s in ("filtered", "labelled")
-    ]
-    return evaluate.union_all(counts)
+    found = jobs.label_job(spark, fixtures.comments(spark, folder), out, sample_size=400)
+    vectors = jobs.feature_job(spark, found, out, source="400")
+    stages = {"filtered": spark.read.parquet(tables.stage_path(f"{out}/filtered")), "labelled": found, "features": vectors}
+    return evaluate.union_all([df.agg(F.lit(s).alias("stage"), F.count("*").alias("n")) for s, df in stages.items()])

@@ -219,7 +219,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "b15_projection": "SELECT comment_id, clean_body, subreddit FROM prepared",
         "b16_keyword_masker": f"SELECT comment_id, array_to_string([CASE WHEN w IN ({_list(ANXIETY.terms)}) THEN ' ' ELSE w END FOR w IN string_split(clean_body, ' ')], ' ') AS masked FROM prepared",
         "b17_text_length": "SELECT comment_id, CAST(length(clean_body) AS int) AS text_len FROM prepared",
-        "b18_time_keys": "SELECT comment_id, yyyy, coalesce(CASE WHEN comment_id % 9 <> 0 THEN mm END, 1) AS mm FROM comments WHERE yyyy IS NOT NULL",
+        "b18_time_keys": "SELECT comment_id, yyyy, coalesce(CASE WHEN comment_id % 9 NOT IN (0, 2) THEN mm END, 1) AS mm FROM comments WHERE yyyy IS NOT NULL",
         "b19_intensity_name": f"SELECT comment_id, ({names})[intensity_label + 1] AS intensity FROM levels",
         "b20_round": "SELECT comment_id, round(score, 4) AS score FROM scored",
         "c01_pool_size": "SELECT count(*) AS n_candidates FROM labelled",
@@ -255,7 +255,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "x01_optimism": f"SELECT comment_id, {_hits('lower(body)', OPTIMISM_SUBSTRINGS)} AS n_optimism, {_hits('lower(body)', OPTIMISM_SUBSTRINGS)} > 0 AS optimistic FROM comments",
         "x02_substring_lexicons": f"SELECT comment_id, {_hits('lower(body)', AI_SUBSTRINGS)} AS n_ai, {_hits('lower(body)', ANXIETY_SUBSTRINGS)} AS n_anxiety FROM comments",
         "x03_year_split": "SELECT comment_id, CASE WHEN yyyy = 2023 THEN 'train' ELSE 'test' END AS split FROM comments WHERE yyyy IN (2023, 2024)",
-        "x06_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM (SELECT 1 FROM labelled QUALIFY {in_class} <= 200)",
+        "x06_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM (SELECT 1 FROM labelled QUALIFY {in_class} <= 200) UNION ALL SELECT 'features', count(*) FROM (SELECT clean_body FROM (SELECT comment_id, {_full('body')} AS clean_body FROM labelled QUALIFY {in_class} <= 200)) WHERE length(clean_body) >= 10",
     }
     out = {name: CTES + sql for name, sql in out.items()}
     out |= {
@@ -270,7 +270,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "x04_vocabulary_limits": f"{_terms('all_tokens[1:200]', 5, 20_000)}SELECT term, tf, df FROM vocabulary",
         "f06_best_threshold": f"{CTES}{CURVE}SELECT round(coalesce(max(threshold), 0.5::double), 6) AS threshold FROM (SELECT threshold FROM (SELECT threshold, tp / (tp + fp)::double AS p, tp / sizes.p::double AS r FROM points CROSS JOIN sizes) WHERE r >= 0.1::double ORDER BY 2 * p * r / (p + r + 1e-9) DESC, threshold LIMIT 1)",
         "g04_report": f"{CTES}{RATED}SELECT ({names})[c + 1] AS class_name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per_class UNION ALL SELECT 'accuracy', a, a, a, a FROM (SELECT round(sum(tp) / sum(support), 6) AS a FROM per_class) UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM per_class UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM per_class",
-        "g05_roc_curve": f"{CTES}{CURVE}SELECT round(threshold, 6) AS threshold, round(fp / n::double, 6) AS fpr, round(tp / p::double, 6) AS tpr FROM (SELECT *, lag(tp) OVER w AS tp0, lag(fp) OVER w AS fp0, lead(tp) OVER w AS tp1, lead(fp) OVER w AS fp1 FROM points WINDOW w AS (ORDER BY threshold DESC)) CROSS JOIN sizes WHERE tp0 IS NULL OR tp1 IS NULL OR tp1 - 2 * tp + tp0 <> 0 OR fp1 - 2 * fp + fp0 <> 0",
+        "g05_roc_curve": f"{CTES}{CURVE}SELECT round(threshold, 6) AS threshold, round(fp / n::double, 6) AS fpr, round(tp / p::double, 6) AS tpr FROM (SELECT *, lag(tp) OVER w AS tp0, lag(fp) OVER w AS fp0, lead(tp) OVER w AS tp1, lead(fp) OVER w AS fp1 FROM points WINDOW w AS (ORDER BY threshold DESC)) CROSS JOIN sizes WHERE tp0 IS NULL OR tp1 IS NULL OR tp1 - 2 * tp + tp0 <> 0 OR fp1 - 2 * fp + fp0 <> 0 UNION ALL SELECT 'infinity'::double, 0.0::double, 0.0::double",
         "g06_pr_curve": f"{CTES}{CURVE}SELECT round(threshold, 6) AS threshold, round(tp / (tp + fp)::double, 6) AS precision, round(tp / p::double, 6) AS recall FROM points CROSS JOIN sizes UNION ALL SELECT NULL, 1.0::double, 0.0::double",
         "g08_mean_f1": f"{CTES}{RATED}SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM per_class",
         "g09_ordinal_mae": f"{CTES}{RATED}SELECT round(avg(abs(label - prediction)), 6) AS mae FROM rated",

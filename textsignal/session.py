@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,10 +41,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_open: list[list[str]] = []
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses; it is deleted when the session's JVM ends."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
-    return f"{folder.toString()}/table"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path, files = _files(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    if _open:
+        _open[-1].append(folder)
+    return f"{folder}/table"
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables made inside; what is kept must be written elsewhere by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for folder in made:
+            path, files = _files(spark, folder)
+            files.delete(path, True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textsignal.functions import text
 from textsignal.session import new_path
 
 COMMENTS = T.StructType([
@@ -25,30 +28,20 @@ LABELLED = T.StructType([
 ])
 
 
-SMALL_INPUT = 32  # splits
+def read_comments(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """The comment table; ``yyyy``/``mm`` folders become columns and prune scans.
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of a few file splits over all cores before the text is searched.
-
-    A single Parquet row group is one task, however many cores there are. An input of
-    ``SMALL_INPUT`` splits or more is left as it is: it would shuffle too much text.
+    ``partitions`` deals the rows out anew, for a table of a few large row groups, each of which is
+    one task. It shuffles the text; without it the scan's own splits are kept.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, SMALL_INPUT):
-        return df
-    return df.repartition(cores, key)
-
-
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    """The comment table; ``yyyy``/``mm`` folders become columns and prune scans."""
-    return spread(cast_period(spark.read.schema(COMMENTS).parquet(path)), "comment_id")
+    df = cast_period(spark.read.schema(COMMENTS).parquet(path))
+    return df.repartition(partitions, "comment_id") if partitions else df
 
 
 def cast_period(df: DataFrame) -> DataFrame:
     """Cast ``yyyy`` and ``mm`` to int where the table has them."""
     found = [c for c in ("yyyy", "mm") if c in df.columns]
-    return df.withColumns({c: F.expr(f"try_cast({c} AS int)") for c in found})
+    return df.withColumns({c: text.whole_number(c) for c in found})
 
 
 def write_labelled(df: DataFrame, path: str) -> None:
@@ -80,6 +73,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def stage_path(path: str, **settings) -> str:
+    """The place of a stage made with these settings: other settings have another one."""
+    key = json.dumps(settings, sort_keys=True, default=str)
+    return f"{path}/{hashlib.md5(key.encode()).hexdigest()[:12]}"
+
+
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the stage at ``path`` if it is complete, else compute and write it first."""
     if not is_complete(spark, path):
@@ -105,7 +104,7 @@ def markdown_rows(summary: DataFrame) -> DataFrame:
     """One Markdown line per summary row: four decimals, blank where a metric is null."""
     metrics = _BINARY if "roc_auc" in summary.columns else _INTENSITY
     cells = [F.col("model_name"), F.col("split_name")] + [
-        F.coalesce(F.format_string("%.4f", F.col(m)), F.lit("")) if m == "roc_auc"
+        F.when(F.col(m).isNotNull(), F.format_string("%.4f", F.col(m))).otherwise("") if m == "roc_auc"
         else F.format_string("%.4f", F.col(m))
         for m in metrics
     ]
