@@ -237,7 +237,8 @@ def join(
     placed, sides = blocks(classes, block)
     asked = placed.join(sides, "block").join(classes.select("cls", "rep", "copies"), "cls").select("pair", "side", "cls", "rep", "copies")
     verified = cut_lineage(
-        cut_lineage(asked, "asked").join(rows, F.col("rep") == F.col("key")).select("pair", "side", "cls", "copies", "text")
+        cut_lineage(asked, "asked").join(rows.hint("merge"), F.col("rep") == F.col("key"))  # the same plan at every size
+        .select("pair", "side", "cls", "copies", "text")
         .groupBy("pair").applyInArrow(_verify(Fraction(str(threshold))), "cls long, links long, texts long, root long"), "verified",
     )
     roots = components(verified.select(F.col("cls").alias("u"), F.col("root").alias("v")))
