@@ -28,7 +28,7 @@ def bundle(docs: DataFrame, limit: int) -> DataFrame:
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         held, size = [], 0
 
         def flush():

@@ -14,11 +14,12 @@ from textsignal.llm.common import LOWER, chunks, hashed_words, joined, mix, pick
 from textsignal.llm.elias_fano import Trie, restore
 from textsignal.sources.tables import cut_lineage
 
-BATCH = 16 << 20  # bytes of text that are counted and scored together
+BATCH = 8 << 20  # bytes of text that are counted and scored together
 SHARD = 8 << 20  # bytes of text for each shard of the counts
 PRIOR = ((3.0, 0.9), (1.0, 1.0))  # factor and power of a context's count: how many counts the shorter context weighs
 LEAST = 2  # trigrams of fewer occurrences are left out of the model
 END = np.uint64(0xE7D0E7D0E7D0E7D1)  # the token at the end of each text
+LONGER = np.uint64(0xFFFFFFFFFFFFFF00)  # bits of the hash that name a bigram or trigram; words have all 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +42,7 @@ class Grams:
         inside = np.ones(len(self.hash), bool)
         for back in range(1, n):
             inside[(self.edge[1:] - back)[self.size >= back]] = False
-        return np.flatnonzero(inside)
+        return np.flatnonzero(inside).astype(np.int32)
 
     def distinct(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the n-grams at the given places, a place of each, and the number of each place's n-gram."""
@@ -49,9 +50,9 @@ class Grams:
         if n > 1:
             for i in range(1, n):
                 h = h * _STEP + self.hash[at + i]
-            h = mix(h + np.uint64(n))
+            h = mix(h + np.uint64(n)) & LONGER
         keys, first, number = np.unique(h, return_index=True, return_inverse=True)
-        return keys, at[first], number
+        return keys, at[first], number.astype(np.int32)
 
     def learned(self, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
         """Occurrences of each n-gram in training texts."""
@@ -131,7 +132,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     a Dirichlet prior: p(w | h) = (c(hw) + k p(w | shorter h)) / (c(h) + k), where k grows with c(h).
     All else backs off.
     """
-    everywhere, two = np.arange(len(grams.hash)), grams.starts(2)
+    everywhere, two = grams.starts(1), grams.starts(2)
     word, _, at_word = grams.distinct(everywhere, 1)
     c1 = _totals(answers, 1)
     base = _log((c1 + 1) / (n_tokens + n_distinct + 1))
@@ -153,7 +154,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     p1 = 10 ** base[own]
     k2, k3 = _prior(c1[own], 2), _prior(c2[kept], 3)
     p2 = (c2[kept] + k2[left[kept]] * p1[right[kept]]) / (c1[own] + k2)[left[kept]]
-    of_place = np.full(len(grams.hash), -1)
+    of_place = np.full(len(grams.hash), -1, np.int32)
     of_place[two] = at_pair
     good = np.flatnonzero(c3 >= LEAST)
     above, below = pair_no[of_place[triple_at[good]]], pair_no[of_place[triple_at[good] + 1]]
