@@ -101,7 +101,8 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if("new_whole").alias("docs"), F.min(F.struct("uid", "line")).alias("one")
     )
     sample = cut_lineage(distinct.select("leaf", "whole", "docs", F.col("one.uid").alias("uid"), F.col("one.line").alias("line")), "sample")
-    tokens = cut_lineage(_tokens(sample.join(docs.select("uid", "text").distinct(), "uid")), "tokens")
+    texts = docs.select("uid", "text").hint("merge")  # the same plan at every size
+    tokens = cut_lineage(_tokens(sample.join(texts, "uid")).dropDuplicates(["leaf", "whole"]), "tokens")
     placed = tokens.select("leaf", "whole", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = placed.filter(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(
         F.sum("docs").alias("n")).filter(F.col("n") >= MIN_DOCS).drop("n")
@@ -160,7 +161,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 [*columns, pa.array(lines, pa.int32()), pa.array(n, pa.int32())], [*names, "n_lines", "n_dropped"]
             )
 
-    joined = plain.withColumn("_uid", uid).join(
+    joined = plain.withColumn("_uid", uid).hint("merge").join(
         dropped.select(F.col("uid").alias("_uid"), F.col("gone").alias("_gone")), "_uid", "left"
     ).drop("_uid")
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_lines int, n_dropped int"
