@@ -58,7 +58,14 @@ FROM {table}"""
 
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    """The view over the documents of a folder.
+
+    The given tables are one Parquet row group each, which is one task. So their rows are dealt out
+    to ``spark.sql.shuffle.partitions`` tasks, at every size. ``read_comments`` does so on demand only.
+    """
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"
+    )
     return spark.sql(comments_sql("{documents}"), documents=documents)
 
 
