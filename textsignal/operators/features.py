@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textsignal.functions import text
 from textsignal.functions.lexicon import ANXIETY, STOP_WORDS, Lexicon
+from textsignal.sources.tables import cut_lineage
 
 
 class _Stage(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -81,9 +82,9 @@ def vocabulary(df: DataFrame, terms: str, min_df: int, max_df: float, size: int)
     """``term, tf, df, idf`` of the ``size`` most frequent terms within the text-frequency limits, ties in term order.
 
     The smoothed idf is ``ln((1 + n) / (1 + df)) + 1``. The number of texts n comes from the counts' own
-    null term, so the texts are read once.
+    null term, and the counts, a row per term, are stored: the texts are read once.
     """
-    counts = term_counts(df, terms)
+    counts = cut_lineage(term_counts(df, terms), "term-counts")
     n = F.coalesce(counts.filter("term IS NULL").select("df").scalar(), F.lit(0))
     inside = F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
     found = counts.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1).filter(inside)
