@@ -65,7 +65,8 @@ def top_k(
     before its shuffle, merges them. Blocks have a fixed size, so a task's memory doesn't grow.
     Null ids, null vectors and vectors with null or non-finite components take no part; a
     vector without components scores 0. Equal rows are candidates each for itself, and one
-    query; rows that share an id but not their vector are queries of their own. Missing dimensions of a shorter vector count as 0. Empty table: no rows.
+    query; rows that share an id but not their vector are queries of their own. Missing
+    dimensions of a shorter vector count as 0. Empty table: no rows.
     """
     rows = pick(vectors, vec_id=id_col, vector=vector_col).select(
         F.col("vec_id").cast("long"), weights(F.col("vector"), scale).alias("w")
