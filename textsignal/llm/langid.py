@@ -15,6 +15,7 @@ from textsignal.llm.common import chunks, joined, pick, remainder, renamed
 
 GRAMS = (1, 2, 3, 4)  # bytes in a subword
 BITS = 14  # of a subword's bucket
+CLEAR = 0.5  # a calibrated prediction at least this likely is never rejected
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -86,7 +87,7 @@ def train(
     subwords get few and small ones. There are ``epochs`` passes, and more until ``steps`` steps are done.
     A fifth of the rows is held back: on it the temperature is chosen by log loss, and the
     rejection threshold as the ``reject`` quantile of the scores of right predictions, less a
-    tenth. Without rows the model knows no language; with one, it always predicts it.
+    tenth, and ``CLEAR`` at most. Without rows the model knows no language; with one, it always predicts it.
     """
     languages = sorted({r[2] for r in rows})
     if not languages:
@@ -126,7 +127,7 @@ def train(
     model.sharpness = min(np.geomspace(0.1, 10, 41), key=loss)
     right = z.argmax(1) == y
     if right.any():
-        model.least = 0.9 * float(np.quantile(model.scores(z)[right].max(1), reject))
+        model.least = min(CLEAR, 0.9 * float(np.quantile(model.scores(z)[right].max(1), reject)))
     return model
 
 
@@ -142,15 +143,15 @@ def _histograms(batches):
             parts = [x for x, _ in subwords(data[at[i]:at[i + 1]], at[i:i + 2] - at[i])]
             n = np.bincount(np.concatenate(parts) if parts else [], minlength=1 << BITS)
             bucket = np.flatnonzero(n)
-            made.append((bucket.astype(np.int32), (n[bucket] / max(1, n.sum())).astype(np.float32)))
+            made.append((bucket.astype(np.int16), (n[bucket] / max(1, n.sum())).astype(np.float32)))
         yield pa.RecordBatch.from_arrays(
-            [b.column("place"), pa.array([m[0] for m in made], pa.list_(pa.int32())),
+            [b.column("place"), pa.array([m[0] for m in made], pa.list_(pa.int16())),
              pa.array([m[1] for m in made], pa.list_(pa.float32())), b.column("lang")],
             ["place", "bucket", "weight", "lang"],
         )
 
 
-def fit(labelled: DataFrame, train_rows: int = 2048, **settings) -> Model:
+def fit(labelled: DataFrame, train_rows: int = 1024, **settings) -> Model:
     """A model from a sample of rows with text and language.
 
     ``train_rows`` bounds the sample: the rows with the smallest hashes of id and text. Their whole
@@ -162,12 +163,12 @@ def fit(labelled: DataFrame, train_rows: int = 2048, **settings) -> Model:
         return train([], **settings)
     sample = (
         rows.filter(F.col("place") <= cut).select("place", "text", "lang")
-        .mapInArrow(_histograms, "place long, bucket array<int>, weight array<float>, lang string").limit(2 * train_rows)
+        .mapInArrow(_histograms, "place long, bucket array<short>, weight array<float>, lang string").limit(2 * train_rows)
         .toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
     )
     bucket, weight = (sample.column(c).combine_chunks() for c in ("bucket", "weight"))
     return train([
-        (np.asarray(bucket[i].values), np.asarray(weight[i].values), lang)
+        (np.asarray(bucket[i].values).astype(np.int64), np.asarray(weight[i].values), lang)
         for i, lang in enumerate(sample.column("lang").to_pylist())
     ], **settings)
 
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identify(
-    docs: DataFrame, *, folds: int = 4, held: int = 2, train_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, folds: int = 4, held: int = 2, train_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", **settings,
 ) -> DataFrame:
     """Predicted language of every whole text: ``doc_id, held_out, lang_pred, score, rejected``.
@@ -222,7 +223,7 @@ def identify(
 
 
 def recognised(
-    docs: DataFrame, *, train_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings,
+    docs: DataFrame, *, train_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings,
 ) -> DataFrame:
     """The rows that aren't rejected by a model of a sample of all rows, with all their columns, whatever their names."""
     plain, at = renamed(docs)
