@@ -8,6 +8,7 @@ import numpy as np
 
 STEPS = 65535  # of a quantised value
 FLOOR = -16.0  # log10 of the smallest value
+SLICE = 1 << 16  # lookups done together
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
@@ -167,9 +168,14 @@ class Trie:
             else:
                 setattr(owner, key, view)
 
-    @staticmethod
-    def _find(pointers: EliasFano, level: EliasFano, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank in the level of a value among the successors of its context, and whether it is there."""
+    @classmethod
+    def _find(cls, pointers: EliasFano, level: EliasFano, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank in the level of a value among the successors of its context, and whether it is there; some at a time."""
+        if len(context) > SLICE:
+            parts = [
+                cls._find(pointers, level, context[i:i + SLICE], value[i:i + SLICE]) for i in range(0, len(context), SLICE)
+            ]
+            return tuple(map(np.concatenate, zip(*parts)))
         low, high = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
         base = np.zeros(len(context), np.uint64)
         inner = np.flatnonzero((low > 0) & (low < high))
@@ -179,6 +185,8 @@ class Trie:
 
     def word(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 if unknown."""
+        if len(hashes) > SLICE:
+            return np.concatenate([self.word(hashes[i:i + SLICE]) for i in range(0, len(hashes), SLICE)])
         at, found = self.words.successor(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), len(self.words)))
         return np.where(found, at, -1)
 

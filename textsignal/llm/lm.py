@@ -14,7 +14,7 @@ from textsignal.llm.common import LOWER, chunks, hashed_words, joined, mix, pick
 from textsignal.llm.elias_fano import Trie, restore
 from textsignal.sources.tables import cut_lineage
 
-BATCH = 8 << 20  # bytes of text that are counted and scored together
+BATCH = 5 << 20  # bytes of text that are counted and scored together
 SHARD = 8 << 20  # bytes of text for each shard of the counts
 PRIOR = ((3.0, 0.9), (1.0, 1.0))  # factor and power of a context's count: how many counts the shorter context weighs
 LEAST = 2  # trigrams of fewer occurrences are left out of the model
@@ -144,12 +144,12 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
 
     # the model's part: words, pairs and triples that the training texts have, numbered in order
     own = np.flatnonzero(c1 > 0)
-    number = np.full(len(word), -1)
+    number = np.full(len(word), -1, np.int32)
     number[own] = np.arange(len(own))
     left, right = number[at_word[pair_at]], number[at_word[pair_at + 1]]
     kept = np.flatnonzero(c2 > 0)
     kept = kept[np.lexsort((right[kept], left[kept]))]
-    pair_no = np.full(len(pair), -1)
+    pair_no = np.full(len(pair), -1, np.int32)
     pair_no[kept] = np.arange(len(kept))
     p1 = 10 ** base[own]
     k2, k3 = _prior(c1[own], 2), _prior(c2[kept], 3)
@@ -167,6 +167,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
         [_log(k2 / (c1[own] + k2)), _log(k3 / (c2[kept] + k3))],
     )
 
+    del number, left, right, kept, pair_no, above, below, order, good, p1, p2, p3, k2, k3
     # queries: every distinct n-gram of the batch once, through the trie alone
     w = trie.word(word)
     unknown = math.log10(1 / (n_tokens + n_distinct + 1))
