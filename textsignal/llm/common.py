@@ -54,6 +54,13 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0]:at[-1]], at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
+
+
 def chunks(at: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text is alone in its range."""
     low, n = 0, len(at) - 1

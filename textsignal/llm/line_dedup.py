@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsignal.llm.common import renamed
+from textsignal.llm.common import renamed, slices
 from textsignal.sources.tables import cut_lineage
 
 DEPTH = 3  # leading tokens that name a leaf, below the token count
@@ -39,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """A row per line with a template: its leaf, its masked tokens' hash, and whether its document has either for the first time."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             uid, line, leaf, whole, new_leaf, new_whole = ([] for _ in range(6))
             for key, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist()):
                 seen = set()
@@ -72,7 +72,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
     """The masked tokens of one line of a text."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             made = [masked(t.split("\n")[i]) for t, i in zip(b.column("text").to_pylist(), b.column("line").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("leaf"), b.column("whole"), b.column("docs"), pa.array(made, pa.list_(pa.string()))],
@@ -148,7 +148,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, lines, n = [], [], []
             for own, drop in zip(b.column(text).to_pylist(), b.column("_gone").to_pylist()):
                 parts = (own or "").split("\n") if own is not None else []
