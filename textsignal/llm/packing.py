@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsignal.llm import bytebpe
-from textsignal.llm.common import pick
+from textsignal.llm.common import pick, slices
 from textsignal.sources.tables import cut_lineage
 
 WINDOW = 1024
@@ -117,7 +117,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Pieces of at most a window: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             texts = [t or "" for t in b.column("text").to_pylist()]
             for key, ids in zip(b.column("doc_id").to_pylist(), bytebpe.encode(texts, tokenizer)):
