@@ -291,3 +291,12 @@ def test_scores_of_awkward_rows(spark):
     assert lm.score_texts(cases.empty(spark)).collect() == []
     alone = [(next(k for k in range(99) if cases.in_fold(k, 7) == 2), "held out alone", "en", "s")]
     check_scores(lm.score_texts(cases.table(spark, alone)).collect(), [alone[0][:2]])
+
+
+def test_trigrams_of_one_occurrence_count(spark):
+    keys = [next(k for k in range(99) if (cases.in_fold(k, 7) == 2) is held) for held in (False, True)]
+    rows = [(k, "red green blue", "en", "s") for k in keys]
+    found = {r.held_out: r for r in lm.score_texts(cases.table(spark, rows)).collect()}
+    # four words of one occurrence: 2/9 each, (1 + 3 * 2/9) / (1 + 3) = 5/12 after one word, (1 + 5/12) / 2 = 17/24 after two
+    want = math.log10(2 / 9) + math.log10(5 / 12) + 2 * math.log10(17 / 24)
+    assert found[True].score == pytest.approx(want, abs=1e-3) and found[False].score == pytest.approx(want, abs=1e-3)

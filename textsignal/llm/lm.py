@@ -17,7 +17,7 @@ from textsignal.sources.tables import cut_lineage
 BATCH = 5 << 20  # bytes of text that are counted and scored together
 SHARD = 8 << 20  # bytes of text for each shard of the counts
 PRIOR = ((3.0, 0.9), (1.0, 1.0))  # factor and power of a context's count: how many counts the shorter context weighs
-LEAST = 2  # trigrams of fewer occurrences are left out of the model
+LEAST = 1  # occurrences in training texts that a trigram of the model has: none is left out
 END = np.uint64(0xE7D0E7D0E7D0E7D1)  # the token at the end of each text
 LONGER = np.uint64(0xFFFFFFFFFFFFFF00)  # bits of the hash that name a bigram or trigram; words have all 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -105,16 +105,6 @@ def _totals(answers: pa.Table, level: int) -> np.ndarray:
     return np.concatenate([unpacked(t, np.int64) for _, t in rows] or [np.zeros(0, np.int64)])
 
 
-def _likely(grams: Grams, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the trigrams whose two bigrams have ``LEAST`` occurrences: others can't have so many."""
-    two = grams.starts(2)
-    _, _, number = grams.distinct(two, 2)
-    often = np.zeros(len(grams.hash) + 1, bool)
-    often[two] = (_totals(answers, 2) >= LEAST)[number]
-    three = grams.starts(3)
-    return three[often[three] & often[three + 1]], two
-
-
 def _prior(counts: np.ndarray, order: int) -> np.ndarray:
     """Weight of the shorter context's distribution; it grows as the number of different successors does."""
     factor, power = PRIOR[order - 2]
@@ -138,7 +128,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     base = _log((c1 + 1) / (n_tokens + n_distinct + 1))
     pair, pair_at, at_pair = grams.distinct(two, 2)
     c2 = _totals(answers, 2)
-    three, _ = _likely(grams, answers)
+    three = grams.starts(3)
     triple, triple_at, at_triple = grams.distinct(three, 3)
     c3 = _totals(answers, 3)
 
@@ -180,9 +170,8 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     s2[p >= 0] = restore(trie.prob[1][p[p >= 0]])
     value = s1[at_word]
     value[two + 1] = s2[at_pair]
-    later = grams.starts(3)
-    context = p[of_place[later]]
-    value[later[context >= 0] + 2] += restore(trie.back[1][context[context >= 0]])
+    context = p[of_place[three]]
+    value[three[context >= 0] + 2] += restore(trie.back[1][context[context >= 0]])
     t = trie.triple(p[of_place[triple_at]], w[at_word[triple_at + 1]], p[of_place[triple_at + 1]])
     hit = t[at_triple] >= 0
     value[three[hit] + 2] = restore(trie.prob[2][t[at_triple][hit]])
@@ -204,8 +193,8 @@ def score_texts(
     trigram model over the texts whose crc32 of the id modulo ``folds`` isn't ``held``; ``base_score`` is
     the add-one unigram score. Counts cover the whole corpus: each batch of texts sends its distinct
     n-grams to the shards of their hashes and gets corpus counts back, so a frequent n-gram is one
-    entry a batch and nothing is held whole anywhere. Trigrams are sent only if both bigrams occur
-    often enough. Each batch then builds a trie of its part of the model and is scored through it.
+    entry a batch and nothing is held whole anywhere. Trigrams of one training occurrence are part of the
+    model as all others are. Each batch then builds a trie of its part of the model and is scored through it.
     Null text: empty, its end alone is scored. Null id: its crc32 is that of the empty text. Repeated
     rows are counted and scored each. Empty table: no rows. Other columns are ignored.
     """
@@ -222,32 +211,18 @@ def score_texts(
         for b in batches:
             for key, blob in zip(b.column("batch").to_pylist(), b.column("docs").to_pylist()):
                 grams = Grams(unbundled(blob))
-                for n in (1, 2):
+                for n in (1, 2, 3):
                     at = grams.starts(n)
                     keys, _, number = grams.distinct(at, n)
                     yield pa.RecordBatch.from_pydict(
                         _asked(key, n, keys, grams.learned(at, number, len(keys)), shards), pa.schema(ASKED_ARROW)
                     )
 
-    def ask_more(bundles: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {c: [] for c, _ in ASKED_ARROW}
-        for key, blob in zip(bundles.column("batch").to_pylist(), bundles.column("docs").to_pylist()):
-            grams = Grams(unbundled(blob))
-            at, _ = _likely(grams, answers)
-            keys, _, number = grams.distinct(at, 3)
-            out = _asked(key, 3, keys, grams.learned(at, number, len(keys)), shards)
-        return pa.table(out, pa.schema(ASKED_ARROW))
-
     asked = bundles.mapInArrow(ask, ASKED)
     answers = cut_lineage(asked.groupBy("level", "shard").applyInArrow(_answer, ANSWERED), "counts")
     n_distinct, n_tokens = answers.filter("level = 1").agg(F.sum("n_distinct"), F.sum("n_tokens")).first()
     n_distinct, n_tokens = n_distinct or 0, n_tokens or 0
     counts = answers.select("batch", "level", "shard", "totals")
-    more = (
-        bundles.groupBy("batch").cogroup(counts.filter("level = 2").groupBy("batch")).applyInArrow(ask_more, ASKED)
-        .groupBy("level", "shard").applyInArrow(_answer, ANSWERED).select("batch", "level", "shard", "totals")
-    )
-    counts = counts.union(cut_lineage(more, "more-counts"))
 
     def finish(bundles: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
