@@ -344,6 +344,21 @@ def test_line_templates_of_awkward_rows(spark):
     assert line_dedup.dedup(cases.empty(spark)).collect() == []
 
 
+def test_short_lines_are_dropped(spark):
+    lines = ["Les."] * 4 + ["And ornd."] * 4 + ["And once."] * 3 + ["Les"]
+    rows = [(i, f"{line}\nown{'abcdefghijklmnop'[i]}", "en", "s") for i, line in enumerate(lines)]
+    found = sorted(line_dedup.dedup(cases.without_clash(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_dropped for r in found] == [0, 1, 1, 1, 0, 1, 1, 1] + [0] * 4
+    assert found[1].text == "ownb"
+
+
+def test_lines_without_blanks_are_dropped(spark):
+    lines = ["版权所有翻印必究"] * 4 + [f"第{n}页之前的内容在这里可以看到" for n in (1, 12, 3, 4)] + [f"他去了很远的东{c}" for c in "京南西北"] + ["สงวนลิขสิทธิ์"] * 5
+    rows = [(i, line, "zh", "s") for i, line in enumerate(lines)]
+    found = sorted(line_dedup.dedup(cases.without_clash(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_dropped for r in found] == [0, 1, 1, 1] * 2 + [0] * 4 + [0, 1, 1, 1, 1]
+
+
 # the pipeline
 
 def stages(spark, docs):

@@ -12,16 +12,26 @@ from textsignal.llm.common import renamed, slices
 from textsignal.sources.tables import cut_lineage
 
 DEPTH = 3  # leading tokens that name a leaf, below the token count
-MIN_TOKENS = 3  # shorter lines have no template and are kept
+MIN_TOKENS = 1  # lines of white space alone have no template and are kept
 MIN_DOCS = 4  # documents that make a leaf, a token or a template recurring
 CONSTANT = 0.8  # share of a template's tokens that must not be variable
 VARIABLE = "<*>"
 _DIGIT = re.compile(r"\d")
+# scripts without blanks: Thai, Lao, Burmese, Khmer, kana, Han
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED, _PART = re.compile(f"[{UNSPACED}]"), re.compile(rf"\d+|[{UNSPACED}]|[^\s\d{UNSPACED}]+")
+
+
+def split(line: str) -> list[str]:
+    """Tokens between white space; a token in a script without blanks gives its characters, its numbers and the rest."""
+    if line.isascii() or not _UNSPACED.search(line):
+        return line.split()
+    return [p for t in line.split() for p in (_PART.findall(t) if _UNSPACED.search(t) else [t])]
 
 
 def masked(line: str) -> list[str]:
     """Tokens of a line; one with a digit is a variable field."""
-    return [VARIABLE if _DIGIT.search(t) else t for t in line.split()]
+    return [VARIABLE if _DIGIT.search(t) else t for t in split(line)]
 
 
 def _hash(parts: list[str]) -> int:
@@ -44,9 +54,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             for key, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist()):
                 seen = set()
                 for i, part in enumerate((text or "").split("\n")):
-                    if part.count(" ") + part.count("\t") < MIN_TOKENS - 1 and len(part.split()) < MIN_TOKENS:
-                        continue
-                    tokens = masked(part) if _DIGIT.search(part) else part.split()
+                    tokens = masked(part) if _DIGIT.search(part) else split(part)
                     if len(tokens) < MIN_TOKENS:
                         continue
                     a, w = _hash([str(len(tokens)), *tokens[:DEPTH]]), _hash(tokens)
@@ -85,11 +93,12 @@ def _tokens(rows: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Line occurrences with their template, and the templates: ``template, pattern, constant, docs, first``.
+    """Line occurrences with their template, and the templates: ``template, pattern, constant, unspaced, strict, docs, first``.
 
     The tree has a fixed depth: token count, then the leading tokens. In a leaf, a token is constant
     where it stands at the same place in lines of ``MIN_DOCS`` documents, and a variable field
     elsewhere. That is counted, not searched, so it depends on no order and no leaf is ever in one task.
+    ``strict`` tells that only tokens with a digit are variable, ``unspaced`` that characters are tokens.
     ``docs`` needs ``key``, ``uid`` and ``text``. Only leaves of ``MIN_DOCS`` documents go on.
     """
     lines = cut_lineage(_lines(docs), "lines")
@@ -111,7 +120,9 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("leaf", "whole").agg(
             F.sort_array(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("t"),
             F.avg(F.when(F.col("kept"), 1.0).otherwise(0.0)).alias("constant"),
-        ).select("leaf", "whole", F.array_join("t.token", " ").alias("pattern"), "constant")
+            F.max(F.col("token").rlike(f"^[{UNSPACED}]$")).alias("unspaced"),
+            F.min(F.col("kept").isNotNull() | (F.col("token") == VARIABLE)).alias("strict"),
+        ).select("leaf", "whole", F.array_join("t.token", " ").alias("pattern"), "constant", "unspaced", "strict")
         .withColumn("template", F.xxhash64("leaf", "pattern"))
     )
     shown = cut_lineage(shown, "shown")
@@ -121,7 +132,10 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = found.select("template", "uid").distinct().join(keys, "uid").groupBy("template").agg(
         F.count("*").alias("docs"), F.min(F.struct("key", "uid")).alias("first")
     )
-    named = shown.groupBy("template").agg(F.min("pattern").alias("pattern"), F.min("constant").alias("constant"))
+    named = shown.groupBy("template").agg(
+        F.min("pattern").alias("pattern"), F.min("constant").alias("constant"),
+        F.max("unspaced").alias("unspaced"), F.min("strict").alias("strict"),
+    )
     return found, cut_lineage(named.join(spread, "template"), "templates")
 
 
@@ -130,7 +144,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     A line (text between line feeds) is dropped where its template is in ``MIN_DOCS`` documents or
     more, at least ``CONSTANT`` of the template's tokens are constant, and the document isn't the first,
-    by id, that has the template. Lines of fewer than ``MIN_TOKENS`` tokens stay. Other lines keep
+    by id, that has the template. In scripts without blanks characters are tokens, and only those with a
+    digit may be variable; so few tokens as 1 to 4 must all be constant. White space alone stays. Other lines keep
     their order and bytes. Null text stays null, with 0 lines. Null id: before all others. Rows
     that repeat id and text are one document for the count, and lose the same lines; rows that repeat
     an id alone are documents of their own, first the one with the smaller hash. Empty table: no rows.
@@ -139,7 +154,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     uid = identity(F.col(at[id_col]), F.col(at[text_col]))
     rows = plain.select(F.col(at[id_col]).alias("key"), uid.alias("uid"), F.col(at[text_col]).cast("string").alias("text"))
     found, made = templates(rows)
-    gone = made.filter((F.col("docs") >= MIN_DOCS) & (F.col("constant") >= CONSTANT)).select("template", F.col("first.uid").alias("kept"))
+    sure = (F.col("constant") >= CONSTANT) & (F.col("strict") | ~F.col("unspaced"))
+    gone = made.filter((F.col("docs") >= MIN_DOCS) & sure).select("template", F.col("first.uid").alias("kept"))
     dropped = cut_lineage(
         found.join(gone, "template").filter("uid <> kept").groupBy("uid").agg(F.collect_set("line").alias("gone")), "dropped"
     )
