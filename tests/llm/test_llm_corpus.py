@@ -359,6 +359,14 @@ def test_lines_without_blanks_are_dropped(spark):
     assert [r.n_dropped for r in found] == [0, 1, 1, 1] * 2 + [0] * 4 + [0, 1, 1, 1, 1]
 
 
+def test_short_lines_with_fields_are_dropped(spark):
+    lines = [f"(c) {2000 + i} Example Inc" for i in range(4)] + [f"Page {i} of 1{i}" for i in range(4)] + ["Tel. 030 1234 99"] * 4
+    lines += ["Tel. 040 5 6"] * 3 + [f"see {c} and 5" for c in "abcd"] + [f"7 8 {i} times" for i in range(4)]
+    rows = [(i, line, "en", "s") for i, line in enumerate(lines)]
+    found = sorted(line_dedup.dedup(cases.without_clash(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_dropped for r in found] == [0, 1, 1, 1] * 3 + [0] * 11
+
+
 # the pipeline
 
 def stages(spark, docs):

@@ -15,6 +15,9 @@ DEPTH = 3  # leading tokens that name a leaf, below the token count
 MIN_TOKENS = 1  # lines of white space alone have no template and are kept
 MIN_DOCS = 4  # documents that make a leaf, a token or a template recurring
 CONSTANT = 0.8  # share of a template's tokens that must not be variable
+SHORT = 9  # tokens up to which a template whose variable fields all have digits needs only the next two
+SHORT_CONSTANT = 0.5  # share of such a template's tokens that must not be variable
+SHORT_LEAST = 2  # and their number
 VARIABLE = "<*>"
 _DIGIT = re.compile(r"\d")
 # scripts without blanks: Thai, Lao, Burmese, Khmer, kana, Han
@@ -46,33 +49,37 @@ def identity(key: Column, text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line with a template: its leaf, its masked tokens' hash, and whether its document has either for the first time."""
+    """A row per line with a template: its leaf, its masked tokens' hash, its own hash if it has a digit, and whether its document has each for the first time."""
 
     def run(batches):
         for b in slices(batches):
-            uid, line, leaf, whole, new_leaf, new_whole = ([] for _ in range(6))
+            uid, line, leaf, whole, exact, new_leaf, new_whole, new_exact = ([] for _ in range(8))
             for key, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist()):
                 seen = set()
                 for i, part in enumerate((text or "").split("\n")):
-                    tokens = masked(part) if _DIGIT.search(part) else split(part)
+                    digit = _DIGIT.search(part)
+                    tokens = masked(part) if digit else split(part)
                     if len(tokens) < MIN_TOKENS:
                         continue
                     a, w = _hash([str(len(tokens)), *tokens[:DEPTH]]), _hash(tokens)
+                    e = _hash(part.split()) if digit else None
                     uid.append(key)
                     line.append(i)
                     leaf.append(a)
                     whole.append(w)
+                    exact.append(e)
                     new_leaf.append((0, a) not in seen)
                     new_whole.append((1, w) not in seen)
-                    seen.update(((0, a), (1, w)))
+                    new_exact.append(e is not None and (2, e) not in seen)
+                    seen.update(((0, a), (1, w), (2, e)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid, pa.int64()), pa.array(line, pa.int32()), pa.array(leaf, pa.int64()), pa.array(whole, pa.int64()),
-                 pa.array(new_leaf, pa.bool_()), pa.array(new_whole, pa.bool_())],
-                ["uid", "line", "leaf", "whole", "new_leaf", "new_whole"],
+                 pa.array(exact, pa.int64()), pa.array(new_leaf, pa.bool_()), pa.array(new_whole, pa.bool_()), pa.array(new_exact, pa.bool_())],
+                ["uid", "line", "leaf", "whole", "exact", "new_leaf", "new_whole", "new_exact"],
             )
 
     return docs.select("uid", "text").mapInArrow(
-        run, "uid long, line int, leaf long, whole long, new_leaf boolean, new_whole boolean"
+        run, "uid long, line int, leaf long, whole long, exact long, new_leaf boolean, new_whole boolean, new_exact boolean"
     )
 
 
@@ -92,8 +99,19 @@ def _tokens(rows: DataFrame) -> DataFrame:
     )
 
 
-def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Line occurrences with their template, and the templates: ``template, pattern, constant, unspaced, strict, docs, first``.
+def equal_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines with a digit that ``MIN_DOCS`` documents have token for token, but for their first document: ``uid, line``."""
+    often = lines.filter("exact IS NOT NULL").groupBy("exact").agg(F.count_if("new_exact").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    found = cut_lineage(lines.join(often.select("exact"), "exact").select("exact", "uid", "line"), "equal")
+    spread = found.select("exact", "uid").distinct().join(docs.select("key", "uid"), "uid").groupBy("exact").agg(
+        F.count("*").alias("docs"), F.min(F.struct("key", "uid")).alias("first")
+    )
+    kept = spread.filter(F.col("docs") >= MIN_DOCS).select("exact", F.col("first.uid").alias("kept"))
+    return found.join(kept, "exact").filter("uid <> kept").select("uid", "line")
+
+
+def templates(docs: DataFrame, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Line occurrences with their template, and the templates: ``template, pattern, constant, size, unspaced, strict, docs, first``.
 
     The tree has a fixed depth: token count, then the leading tokens. In a leaf, a token is constant
     where it stands at the same place in lines of ``MIN_DOCS`` documents, and a variable field
@@ -101,7 +119,7 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``strict`` tells that only tokens with a digit are variable, ``unspaced`` that characters are tokens.
     ``docs`` needs ``key``, ``uid`` and ``text``. Only leaves of ``MIN_DOCS`` documents go on.
     """
-    lines = cut_lineage(_lines(docs), "lines")
+    lines = cut_lineage(_lines(docs), "lines") if lines is None else lines
     leaves = cut_lineage(
         lines.groupBy("leaf").agg(F.count_if("new_leaf").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"), "leaves"
     )
@@ -119,10 +137,10 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed.join(constant.withColumn("kept", F.lit(True)), ["leaf", "at", "token"], "left")
         .groupBy("leaf", "whole").agg(
             F.sort_array(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("t"),
-            F.avg(F.when(F.col("kept"), 1.0).otherwise(0.0)).alias("constant"),
+            F.avg(F.when(F.col("kept"), 1.0).otherwise(0.0)).alias("constant"), F.count("*").alias("size"),
             F.max(F.col("token").rlike(f"^[{UNSPACED}]$")).alias("unspaced"),
             F.min(F.col("kept").isNotNull() | (F.col("token") == VARIABLE)).alias("strict"),
-        ).select("leaf", "whole", F.array_join("t.token", " ").alias("pattern"), "constant", "unspaced", "strict")
+        ).select("leaf", "whole", F.array_join("t.token", " ").alias("pattern"), "constant", "size", "unspaced", "strict")
         .withColumn("template", F.xxhash64("leaf", "pattern"))
     )
     shown = cut_lineage(shown, "shown")
@@ -133,7 +151,7 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("docs"), F.min(F.struct("key", "uid")).alias("first")
     )
     named = shown.groupBy("template").agg(
-        F.min("pattern").alias("pattern"), F.min("constant").alias("constant"),
+        F.min("pattern").alias("pattern"), F.min("constant").alias("constant"), F.min("size").alias("size"),
         F.max("unspaced").alias("unspaced"), F.min("strict").alias("strict"),
     )
     return found, cut_lineage(named.join(spread, "template"), "templates")
@@ -144,8 +162,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     A line (text between line feeds) is dropped where its template is in ``MIN_DOCS`` documents or
     more, at least ``CONSTANT`` of the template's tokens are constant, and the document isn't the first,
-    by id, that has the template. In scripts without blanks characters are tokens, and only those with a
-    digit may be variable; so few tokens as 1 to 4 must all be constant. White space alone stays. Other lines keep
+    by id, that has the template. For templates of ``SHORT`` tokens at most whose variable fields all have
+    digits, ``SHORT_CONSTANT`` of the tokens and ``SHORT_LEAST`` of them are enough. A line with a digit that
+    ``MIN_DOCS`` documents have token for token is dropped but from the first of them, whatever its template. In scripts without blanks characters are tokens, and only those with a
+    digit may be variable; without such fields 1 to 4 tokens must all be constant. White space alone stays. Other lines keep
     their order and bytes. Null text stays null, with 0 lines. Null id: before all others. Rows
     that repeat id and text are one document for the count, and lose the same lines; rows that repeat
     an id alone are documents of their own, first the one with the smaller hash. Empty table: no rows.
@@ -153,11 +173,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     plain, at = renamed(docs)
     uid = identity(F.col(at[id_col]), F.col(at[text_col]))
     rows = plain.select(F.col(at[id_col]).alias("key"), uid.alias("uid"), F.col(at[text_col]).cast("string").alias("text"))
-    found, made = templates(rows)
-    sure = (F.col("constant") >= CONSTANT) & (F.col("strict") | ~F.col("unspaced"))
+    lines = cut_lineage(_lines(rows), "lines")
+    found, made = templates(rows, lines)
+    share = F.col("constant")
+    sure = (share >= CONSTANT) & (F.col("strict") | ~F.col("unspaced"))
+    sure |= F.col("strict") & (F.col("size") <= SHORT) & (share >= SHORT_CONSTANT) & (F.round(share * F.col("size")) >= SHORT_LEAST)
     gone = made.filter((F.col("docs") >= MIN_DOCS) & sure).select("template", F.col("first.uid").alias("kept"))
     dropped = cut_lineage(
-        found.join(gone, "template").filter("uid <> kept").groupBy("uid").agg(F.collect_set("line").alias("gone")), "dropped"
+        found.join(gone, "template").filter("uid <> kept").select("uid", "line").union(equal_lines(rows, lines)).groupBy("uid").agg(F.collect_set("line").alias("gone")), "dropped"
     )
     names = [f"c{i}" for i, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_dropped")]
     text = at[text_col]
