@@ -97,3 +97,10 @@ def test_csv_keeps_free_text(spark, tmp_path):
     tables.write_labelled_csv(df, str(tmp_path / "csv"))
     again = tables.read_labelled_csv(spark, str(tmp_path / "csv"), df.schema).orderBy("comment_id")
     assert [r["body"] for r in again.collect()][:-1] == texts[:-1]
+
+
+def test_whole_stages_have_all_rows(spark):
+    n = {r.stage: r.n for r in entry.queries()["x07_whole_stages"](spark, FOLDER).collect()}
+    capped = {r.stage: r.n for r in entry.queries()["x06_stages"](spark, FOLDER).collect()}
+    assert n["labelled"] == n["filtered"] == catalog.labelled(spark, FOLDER).count() >= capped["labelled"]
+    assert n["features"] >= capped["features"] > 0

@@ -676,10 +676,21 @@ def _(spark, folder):
     ])
 
 
+def _stage_sizes(spark, out, labelled, vectors):
+    stages = {"filtered": spark.read.parquet(tables.stage_path(f"{out}/filtered")), "labelled": labelled, "features": vectors}
+    return evaluate.union_all([df.agg(F.lit(s).alias("stage"), F.count("*").alias("n")) for s, df in stages.items()])
+
+
 @query("x06_stages")
 def _(spark, folder):
     out = new_path(spark, "job")
     found = jobs.label_job(spark, fixtures.comments(spark, folder), out, sample_size=400)
     vectors = jobs.feature_job(spark, found, out, source="400")
-    stages = {"filtered": spark.read.parquet(tables.stage_path(f"{out}/filtered")), "labelled": found, "features": vectors}
-    return evaluate.union_all([df.agg(F.lit(s).alias("stage"), F.count("*").alias("n")) for s, df in stages.items()])
+    return _stage_sizes(spark, out, found, vectors)
+
+
+@query("x07_whole_stages")
+def _(spark, folder):
+    out = new_path(spark, "job")
+    found = jobs.label_job(spark, fixtures.comments(spark, folder), out)
+    return _stage_sizes(spark, out, found, jobs.feature_job(spark, found, out))

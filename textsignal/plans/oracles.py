@@ -256,6 +256,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "x02_substring_lexicons": f"SELECT comment_id, {_hits('lower(body)', AI_SUBSTRINGS)} AS n_ai, {_hits('lower(body)', ANXIETY_SUBSTRINGS)} AS n_anxiety FROM comments",
         "x03_year_split": "SELECT comment_id, CASE WHEN yyyy = 2023 THEN 'train' ELSE 'test' END AS split FROM comments WHERE yyyy IN (2023, 2024)",
         "x06_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM (SELECT 1 FROM labelled QUALIFY {in_class} <= 200) UNION ALL SELECT 'features', count(*) FROM (SELECT clean_body FROM (SELECT comment_id, {_full('body')} AS clean_body FROM labelled QUALIFY {in_class} <= 200)) WHERE length(clean_body) >= 10",
+        "x07_whole_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM labelled UNION ALL SELECT 'features', count(*) FROM (SELECT {_full('body')} AS clean_body FROM labelled) WHERE length(clean_body) >= 10",
     }
     out = {name: CTES + sql for name, sql in out.items()}
     out |= {
