@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsignal.llm import langid, line_dedup, lm, mixing, ngram_join, packing, repeats, syncmers, token_counts, topk
+from textsignal.llm import (
+    alignment, langid, line_dedup, lm, mixing, ngram_join, packing, repeats, supermin, syncmers, token_counts, topk, zones,
+)
 
 # Production parameters of the mix: the hot source gets less than its share, two get more.
 MIX = {"src0": 2.0, "src1": 3.0, "src2": 3.0}
@@ -67,8 +69,24 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup(docs)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return zones.mine(_read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_texts(_read(spark, folder, "documents"), tokenizer(), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_super_min_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return supermin.near_duplicates(_read(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_ngram_join, op3_lm_scores, op4_fingerprints, op5_pack, op6_top_k, op7_repeats, op8_language_id, op9_token_counts,
-    op10_line_dedup,
+    op10_line_dedup, op11_hard_negatives, op12_align_tokens, op13_super_min_hash,
 )}
-ORACLE_SQL = {"op1_mix_sources": mixing.oracle_sql(MIX), "op6_top_k": topk.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_mix_sources": mixing.oracle_sql(MIX), "op6_top_k": topk.ORACLE_SQL, "op11_hard_negatives": zones.ORACLE_SQL,
+    "op13_super_min_hash": supermin.ORACLE_SQL,
+}
