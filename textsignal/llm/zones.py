@@ -95,16 +95,24 @@ def curve(rows: DataFrame, dims: int) -> DataFrame:
     An axis is a sum of the vector's components with signs from a fixed generator; cells are cut
     between four standard deviations on both sides of its mean, and outer ones are wider.
     """
-    signs = np.random.default_rng(0).choice([-1.0, 1.0], (max(1, dims), AXES))
-    at = [sum((F.coalesce(F.get("w", F.lit(i)), F.lit(0)) * s for i, s in enumerate(axis)), F.lit(0.0)) for axis in signs.T.tolist()]
-    found = rows.agg(*[f(a) for a in at for f in (F.avg, F.stddev_pop)]).first()
-    low = np.array([(m or 0.0) - 4 * (d or 0.0) for m, d in zip(found[::2], found[1::2])])
-    wide = np.array([8 * (d or 0.0) or 1.0 for d in found[1::2]])
+    signs = np.random.default_rng(0).choice([-1.0, 1.0], (dims, AXES))
     names = rows.columns
 
+    def moments(batches):
+        for b in batches:
+            axes = matrix(b.column("w"), dims) @ signs
+            sums = np.concatenate([[b.num_rows], axes.sum(0), (axes * axes).sum(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"m{i}" for i in range(len(sums))])
+
+    parts = rows.mapInArrow(moments, ", ".join(f"m{i} double" for i in range(2 * AXES + 1)))
+    n, *found = (m or 0.0 for m in parts.agg(*[F.sum(c) for c in parts.columns]).first())
+    mean, square = np.array(found).reshape(2, AXES) / max(n, 1)
+    spread = np.sqrt(np.maximum(square - mean * mean, 0))
+    low, wide = mean - 4 * spread, np.where(spread > 0, 8 * spread, 1.0)
+
     def run(batches):
         for b in batches:
-            axes = matrix(b.column("w"), dims)[:, :max(1, dims)] @ signs if dims else np.zeros((b.num_rows, AXES))
+            axes = matrix(b.column("w"), dims) @ signs
             cell = np.clip((axes - low) / wide * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert(cell, BITS))], [*names, "place"])
 
@@ -273,7 +281,7 @@ def negatives(k: int, least: int, most: int):
                     out.append((ids[i], asked[i], rank + 1, of[best], scores[i][best]))
         return _rows(["vec_id", "asked", "place", "negative_id", "negative_score"], out)
 
-    return run, "vec_id long, asked long, place int, negative_id long, negative_score long"
+    return run, "vec_id long, asked long, place long, negative_id long, negative_score long"
 
 
 def _top(df: DataFrame, keys: list[str], score: str, tie: str, k: int, rank: str) -> DataFrame:
@@ -306,6 +314,7 @@ def mine(
     ).filter("vec_id IS NOT NULL AND label IS NOT NULL AND w IS NOT NULL")
     if label is not None:
         rows = rows.withColumn("label", label.cast("long"))
+    rows = cut_lineage(rows, "weights")
     n, dims = rows.agg(F.count("*"), F.max(F.size("w"))).first()
     dims = dims or 0
     placed = cut_lineage(curve(rows, dims), "curve")
