@@ -1,0 +1,304 @@
+"""Hard negatives, token alignment and SuperMinHash near-duplicates."""
+
+import hashlib
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import cases
+import numpy as np
+import pytest
+from cases import few_partitions  # noqa: F401
+from conftest import DATA
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from textsignal.llm import alignment, common, queries, supermin, zones
+
+FOLDER = str(DATA / "sf0.001")
+
+
+# hard negatives
+
+@pytest.mark.parametrize("axes, bits", [(2, 4), (3, 3), (4, 2)])
+def test_the_curve_visits_all_cells_by_single_steps(axes, bits):
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=axes)))
+    place = zones.hilbert(cells, bits)
+    assert sorted(place.tolist()) == list(range(len(cells)))
+    walk = cells[np.argsort(place)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+@given(st.lists(st.lists(st.integers(-300, 300), min_size=3, max_size=3), min_size=1, max_size=12), st.lists(st.integers(-300, 300), min_size=3, max_size=3))
+@settings(max_examples=60, deadline=None)
+def test_bounds_hold_for_each_vector_of_a_box(vectors, anchor):
+    v = np.array(vectors)
+    low, high = zones.bounds(np.array([anchor]), v.min(0)[None, :], v.max(0)[None, :])
+    scores = v @ np.array(anchor)
+    assert low[0, 0] <= scores.min() and scores.max() <= high[0, 0]
+
+
+def test_products_are_exact_beyond_doubles():
+    a, b = np.array([[1 << 40, 3]]), np.array([[1 << 20, 5], [-(1 << 20), 7]])
+    assert zones.product(a, b).tolist() == [[(1 << 60) + 15, -(1 << 60) + 21]]
+
+
+def plain_mine(rows, least=80, most=100):
+    """Brute force over ``(vec_id, vector, label)``; rows of one id are not each other's others."""
+    sound = [
+        (i, [int(np.floor(256 * float(x))) for x in v], y) for i, v, y in rows
+        if i is not None and v is not None and y is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = []
+    for i, v, y in {(i, tuple(v), y) for i, v, y in sound if i % 2 == 0}:
+        scored = [(-sum(a * b for a, b in zip(v, w)), j, z) for j, w, z in sound if j != i]
+        for s, j, _ in sorted(x for x in scored if x[2] == y)[:5]:
+            fit = sorted(x for x in scored if x[2] != y and least * -s <= 100 * -x[0] <= most * -s)[:5]
+            out += [(i, j, r + 1, k, -s, -t) for r, (t, k, _) in enumerate(fit)]
+    return sorted(out)
+
+
+def mined(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, w string, BLOCK int").repartition(3)
+    return sorted(tuple(r) for r in zones.mine(df, F.col("vec_id") % 2 == 0, **options).collect())
+
+
+def test_negatives_over_blocks_and_sheets(spark, monkeypatch):
+    """Clusters far apart, so that bounds leave blocks out, and small blocks, sheets and groups of zone maps."""
+    for name, n in (("ROWS", 8), ("ANCHORS", 4), ("ZONES", 3)):
+        monkeypatch.setattr(zones, name, n)
+    rng = random.Random(4)
+    centres = [[rng.choice([-1, 1]) * (0.2 + k) for _ in range(6)] for k in range(4)]
+    rows = [(i, [float(np.float32(c + rng.gauss(0, 0.1))) for c in centres[i % 4]], rng.randrange(3)) for i in range(120)]
+    read = []
+    plain = zones.Search.scored
+    monkeypatch.setattr(zones.Search, "scored", lambda self, a, r, *more: (read.append(r.count()), plain(self, a, r, *more))[1])
+    assert mined(spark, rows) == plain_mine(rows)
+    assert min(read) < 15 * 15
+
+
+def test_negatives_of_awkward_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (None, [1.0, 0.5], 1), (2, None, 1), (4, [1.0, None], 1), (6, [nan, 1.0], 1), (8, [inf, 1.0], 1), (10, [1.0, 1.0], None),
+        (12, [1.0, 0.5], 1), (12, [1.0, 0.5], 1), (12, [0.5, 1.0], 2), (13, [1.0, 0.5], 1), (14, [0.9, 0.5], 2), (15, [0.9, 0.5], 2),
+        (16, [1.0], 1), (17, [], 2), (18, [], 1), (19, [-1.0, -1.0], 1), (20, [0.9, 0.45], 3), (21, [0.9, 0.45], 1), (22, [0.85, 0.5], 3),
+    ]
+    def padded(v):
+        return v if v is None else [*v, *[0.0] * (2 - len(v))]
+
+    assert mined(spark, rows) == plain_mine([(i, padded(v), y) for i, v, y in rows])
+    assert mined(spark, rows[:6]) == [] and mined(spark, rows[12:13]) == []
+    found = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert zones.mine(found, F.col("vec_id") % 2 == 0).count() == 0
+
+
+# alignment
+
+@pytest.fixture(scope="module")
+def pair():
+    return queries.tokenizer(), queries.vocabulary("piece_bpe_32k.model")
+
+
+def tokens(text, first, second):
+    """Ids and byte intervals by the tokenizers themselves, or None."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(first)
+    a.encode_special_tokens = True
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    b = sentencepiece.SentencePieceProcessor(model_file=second)
+    found = a.encode(" " + text, add_special_tokens=False)
+    left = [(i, bytes(byte[c] for c in t)) for i, t in zip(found.ids, found.tokens)]
+    right = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+    whole = (" " + text).encode()
+    if not text or any(b"".join(t for _, t in side) != whole for side in (left, right)):
+        return None
+    out = []
+    for side in (left, right):
+        at, spans = 0, []
+        for i, t in side:
+            spans.append((i, at, at + len(t)))
+            at += len(t)
+        out.append(spans)
+    return out
+
+
+def plain_align(rows, first, second):
+    made, holders = [], Counter()
+    for key, text in rows:
+        found = tokens(text or "", first, second)
+        a, b = found or ([], [])
+        links = [(x[0], y[0]) for x in a for y in b if x[1] < y[2] and y[1] < x[2]]
+        holders.update(set(links))
+        cuts = sorted({x[2] for x in a} & {y[2] for y in b})
+        groups, low = [], 0
+        for high in cuts:
+            groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= high) for side in (a, b)))
+            low = high
+        made.append((key, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
+    best = defaultdict(int)
+    for (x, _), n in holders.items():
+        best[x] = max(best[x], n)
+    return sorted((
+        (key, na, nb, ng, len(links), sum(holders[p] == best[p[0]] for p in links), sum(holders[p] for p in links), digest)
+        for key, na, nb, ng, links, digest in made
+    ), key=repr)
+
+
+def aligned(df, pair, **options):
+    return sorted((tuple(r) for r in alignment.align_texts(df, *pair, **options).collect()), key=repr)
+
+
+STRANGE = [
+    "a", " ", "  two  blanks ", "<|endoftext|> and <s> </s> <0x41>", "under▁score", "😀 emoji 🏳️‍🌈 flags", "né́ étude ½ ﬁ", "中文没有空格的句子", "tab\tand\r\nline\n\n\n",
+    "\x00nul", "x" * 700, "don't we'll I'm", "١٢٣ 123 4567890", " nbsp　wide", "ends with blank ",
+]
+
+
+def test_alignment_of_documents(spark, pair):
+    df = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("n_chars < 3000")
+    want = plain_align([(r.doc_id, r.text) for r in df.collect()][:80], *pair)
+    kept = df.filter(F.col("doc_id").isin([w[0] for w in want]))
+    assert aligned(kept, pair) == want
+    assert aligned(kept.repartition(4), pair, batch=3000, shard=5000) == want
+
+
+def test_alignment_of_awkward_rows(spark, pair):
+    rows = [(r[0], r[1]) for r in cases.ROWS] + [(100 + i, t) for i, t in enumerate(STRANGE)]
+    found = aligned(spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, n_a int, batch string").repartition(3), pair)
+    assert found == plain_align(rows, *pair)
+    assert {r[0]: r[1:4] for r in found}[104] == (0, 0, 0) and len(found) == len(rows)
+    assert aligned(cases.table(spark), pair) == plain_align([(r[0], r[1]) for r in cases.ROWS], *pair)
+    assert aligned(cases.empty(spark), pair) == []
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.booleans(), st.booleans()), max_size=20))
+@settings(max_examples=80, deadline=None)
+def test_groups_break_where_both_end(steps):
+    """Random cuts of one stretch by two sides."""
+    at, cuts = 0, ([0], [0])
+    for width, left, right in steps:
+        at += width
+        for side, here in zip(cuts, (left, right)):
+            if here:
+                side.append(at)
+    for side in cuts:
+        if side[-1] != at:
+            side.append(at)
+    (a, b) = (np.array(side) for side in cuts)
+    group = alignment.coalesce(np.concatenate([a[:-1], b[:-1]]), np.concatenate([a[1:], b[1:]]))
+    both = sorted(set(a.tolist()) & set(b.tolist()))
+    assert group.tolist() == [sum(x <= s for x in both) - 1 for s in (*a[:-1].tolist(), *b[:-1].tolist())]
+    i, j = alignment.overlaps(a[:-1], a[1:], b[:-1], b[1:])
+    want = [(x, y) for x in range(len(a) - 1) for y in range(len(b) - 1) if a[x] < b[y + 1] and b[y] < a[x + 1]]
+    assert list(zip(i.tolist(), j.tolist())) == want
+
+
+def test_long_texts_are_cut_without_a_trace(pair, monkeypatch):
+    _, second = alignment.tokenizers(*pair)
+    texts = ["one  two three   four " * 9, " lead and trail ", "nothing" * 20, "a " * 30, *STRANGE]
+    whole = [x.tolist() for x in second.encode(texts)]
+    monkeypatch.setattr(alignment, "LONG", 5)
+    assert [x.tolist() for x in second.encode(texts)] == whole
+    assert len(second.parts(texts[0])) > 5
+
+
+# SuperMinHash
+
+def plain_registers(elements, size):
+    """The definition, element by element, with the same random draws."""
+    out = [float("inf")] * size
+    for e in elements:
+        places = list(range(size))
+        for step in range(size):
+            draw = int(common.mix(np.array([(int(e) + (step + 1) * int(supermin._STEP)) % (1 << 64)], np.uint64))[0])
+            other = step + ((draw >> 32) * (size - step) >> 32)
+            places[step], places[other] = places[other], places[step]
+            out[places[step]] = min(out[places[step]], step << 32 | draw & 0xFFFFFFFF)
+    return out
+
+
+def test_registers_by_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (1, 2, 5, 40, 0, 300)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for limit in (7, 1 << 15):
+        got = supermin.registers(np.concatenate(sets), at, 16, limit)
+        assert got.tolist() == [plain_registers(s, 16) for s in sets if len(s)]
+    assert supermin.registers(np.zeros(0, np.uint64), np.zeros(3, np.int64), 16).shape == (0, 16)
+
+
+def test_registers_agree_as_often_as_sets_do():
+    """The share of equal registers estimates the Jaccard similarity, with less variance than independent hashes have."""
+    rng = np.random.default_rng(8)
+    found = []
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+        b = np.concatenate([a[:48], rng.integers(0, 1 << 60, 12).astype(np.uint64)])
+        both = supermin.registers(np.concatenate([a, np.unique(b)]), np.array([0, len(a), len(a) + len(b)]), 64)
+        found.append((both[0] == both[1]).mean())
+    true = 48 / 72
+    assert abs(np.mean(found) - true) < 0.015
+    assert np.var(found) < 0.75 * true * (1 - true) / 64
+
+
+def grouped(df, **options):
+    return sorted((tuple(r) for r in supermin.near_duplicates(df, **options).collect()), key=repr)
+
+
+def plain_groups(rows):
+    """By all pairs of sets; keys are unique."""
+    sets = [cases.shingles(t, 2) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = defaultdict(list)
+    for i, (key, _) in enumerate(rows):
+        least[find(i)].append(key)
+    return sorted(((k, len(sets[i]), min(least[find(i)]), k == min(least[find(i)])) for i, (k, _) in enumerate(rows)), key=repr)
+
+
+def test_groups_of_documents_over_small_blocks(spark):
+    df = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert grouped(df, block=1500) == plain_groups([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_chains_and_large_groups(spark):
+    """Near copies in a chain, whose ends are not alike, and a group that falls into many blocks."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    chain, now = [], words[:40]
+    for i in range(30):
+        chain.append(" ".join(now))
+        now = now[1:] + [f"n{i}"]
+    base = rng.sample(words, 60)
+    copies = [" ".join(base[:k] + [f"c{i}"] + base[k + 1:]) for i in range(90) for k in [rng.randrange(60)]]
+    rows = list(enumerate(chain + copies + ["one two", "one two", "one", "", " \n", "two one", "One\ttwo"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (1 << 16, 900):
+        assert grouped(df, block=block) == plain_groups(rows)
+
+
+def test_groups_of_awkward_rows(spark):
+    found = grouped(cases.table(spark))
+    assert len(found) == len(cases.ROWS) and grouped(cases.empty(spark)) == []
+    by = defaultdict(list)
+    for r in found:
+        by[r[0]].append(r)
+    assert by[1] == [(1, 15, 1, True)] and by[2] == [(2, 15, 1, False)]
+    assert by[3] == [(3, 0, 3, True)] and by[5] == [(5, 0, 5, True)]
+    assert by[8] == [(8, 1, 8, True)] and by[9] == [(9, 1, 8, False)] and by[14] == [(14, 1, 14, True)]
+    # a null id is the smallest; the equal text of document 12 belongs to it
+    assert by[None][0][2:] == (None, True) and by[12][0][2:] == (None, False)
+    assert [r[2:] for r in by[13]] == [(13, True)] * 2

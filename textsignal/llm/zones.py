@@ -120,20 +120,31 @@ def curve(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def blocked(rows: DataFrame, n: int, size: int, number: str) -> DataFrame:
-    """The rows in the order of the curve as Parquet, with the number of their block of at most ``size`` rows."""
+    """The rows in the order of the curve as Parquet, numbered in blocks of ``size`` rows.
+
+    Ranges of the curve are sorted each for itself. Rows in each range, a number for each of Spark's partitions, give every
+    range its first place; so blocks are full, however many ranges there are.
+    """
     kept = rows.columns
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            block = (part << 32) + (seen + np.arange(b.num_rows)) // size
+            places = seen + np.arange(b.num_rows)
             seen += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], [*kept, number])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part)), pa.array(places)], [*kept, "part", "at"])
 
     # equal vectors are dealt by id, and equal rows by where they stand
     keys = ["place", "vec_id", F.monotonically_increasing_id()]
     ordered = rows.repartitionByRange(max(1, -(-n // (16 * size))), *keys).sortWithinPartitions("place", "vec_id")
-    return cut_lineage(ordered.mapInArrow(run, _schema(rows, number)), number)
+    ranges = cut_lineage(ordered.mapInArrow(run, _schema(rows, "part long, at")), f"{number}-ranges")
+    counts = dict(ranges.groupBy("part").count().collect())
+    firsts, first = [], 0
+    for part in sorted(counts):
+        firsts.append((part, first))
+        first += counts[part]
+    begins = rows.sparkSession.createDataFrame(firsts, "part long, first long")
+    return ranges.join(F.broadcast(begins), "part").select(*kept, F.expr(f"(first + at) div {size}").alias(number))
 
 
 ZONE = "block long, low array<long>, high array<long>, label_low long, label_high long"
@@ -273,7 +284,7 @@ def negatives(k: int, least: int, most: int):
         other, of = _numbers(rows, "label", "vec_id")
         out = []
         for i, tops in enumerate(anchors.column("tops").to_pylist()):
-            strange = np.flatnonzero(other != label[i])
+            strange = np.flatnonzero((other != label[i]) & (of != ids[i]))
             percent = 100 * scores[i][strange]
             for rank, top in enumerate(tops):
                 best = _first(scores[i], of, strange[(percent >= least * top) & (percent <= most * top)], k)
@@ -320,7 +331,7 @@ def mine(
     placed = cut_lineage(curve(rows, dims), "curve")
     search = Search(blocked(placed, n, ROWS, "block"), dims)
     asking = placed.filter(is_anchor).distinct().withColumn("asked", F.xxhash64("label", "w"))
-    anchors = blocked(asking, asking.count(), ANCHORS, "sheet").drop("place")
+    anchors = cut_lineage(blocked(asking, asking.count(), ANCHORS, "sheet").drop("place"), "anchors")
     own = ["vec_id", "asked"]
 
     seeds = _top(search.bounded(anchors, peaks(2), "vec_id long, asked long, block long, bound long"), own, "bound", "block", 2, "at")
