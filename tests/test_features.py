@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -50,6 +51,34 @@ def test_weights_follow_the_formula(spark):
         assert row["subreddit__x0_jobs"] == 1.0
 
 
+def test_fold_models_are_those_of_the_other_folds(spark):
+    """Vocabulary, idf, range and communities of each fold come from all counts less its own."""
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "fear"]
+    data = [
+        (i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), rng.choice(["jobs", "openai", None, f"only{i}"]), i % 3, i % 2)
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(data, "comment_id long, clean_body string, subreddit string, fold int, label int")
+    for options in ({"min_df": 2, "max_df": 0.7}, {"size": 5, "mask": None, "max_communities": 2}):
+        shared, models = features.fit_folds(small(**options), df, "fold", 3, ["comment_id", "label"])
+        assert "clean_body" not in shared.columns and shared.count() == 40
+        for k, model in enumerate(models):
+            own = small(**options).fit(df.filter(F.col("fold") != k))
+            assert features.feature_names(model) == features.feature_names(own)
+            for got, want in zip(entries(model, shared), entries(own, df), strict=True):
+                assert got == pytest.approx(want)
+
+
+def test_only_the_most_frequent_communities_are_kept(spark):
+    df = table(spark, TEXTS + ["alpha", "beta"], ["jobs", "b", "jobs", "a", "b", "c", None])
+    assert [n for n in features.feature_names(small(max_communities=2).fit(df)) if n.startswith("sub")] == ["subreddit__x0_b", "subreddit__x0_jobs"]
+    assert [n for n in features.feature_names(small(max_communities=3).fit(df)) if n.startswith("sub")] == [f"subreddit__x0_{c}" for c in ("a", "b", "jobs")]
+    model = small(max_communities=2).fit(df)
+    hot = [[n for n in e if n.startswith("sub")] for e in entries(model, df)]
+    assert hot == [["subreddit__x0_jobs"], ["subreddit__x0_b"], ["subreddit__x0_jobs"], [], ["subreddit__x0_b"], [], ["subreddit__x0_b"]]
+
+
 def test_masked_words_are_no_features(spark):
     df = table(spark)
     masked = features.feature_names(small(mask=ANXIETY).fit(df))

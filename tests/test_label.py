@@ -99,3 +99,25 @@ def test_labels_on_a_stream(spark, tmp_path):
         label_new_files(spark, source, out, str(tmp_path / "progress")).awaitTermination(60)
     batch = label.weak_label(label.candidates(df))
     assert rows(spark.read.parquet(out).select("comment_id", "label")) == rows(batch.select("comment_id", "label"))
+
+
+def test_profiles_from_one_aggregate(spark):
+    """Equal to the profiles that read the rows themselves."""
+    words = ["", "fear", "fear worry", "not worried", "http://x/panic"]
+    rows = [
+        (i, f"ai job {words[i % 5]}" + (" and more" if i % 4 else ""), ["Jobs", "jobs", None, "x"][i % 4], label)
+        for i, label in enumerate([0, 1, None, 1, 2, 1, 0, 1, 1, 0] * 4)
+    ] + [(99, None, "jobs", 1), (98, "ai", "jobs", 0)]
+    df = spark.createDataFrame(rows, "comment_id long, body string, subreddit string, label int").withColumn("clean_body", F.lower("body"))
+    for labelled in (df, df.limit(0)):
+        found = profile.from_kinds(profile.row_kinds(labelled))
+        valid = label.valid_labels(labelled)
+        usable = label.prepare(valid)
+        want = {
+            "pool_size": profile.pool_size(labelled), "community_distribution": profile.distribution(labelled, "subreddit"),
+            "label_distribution": profile.distribution(usable, "label"), "label_quality": profile.label_quality(valid),
+            "label_distribution_by_subreddit": profile.distribution(usable, "subreddit", "label"), "positive_check": profile.positive_check(usable),
+        }
+        assert set(found) == set(want)
+        for name, table in want.items():
+            assert (found[name].columns, sorted(map(tuple, found[name].collect()), key=repr)) == (table.columns, sorted(map(tuple, table.collect()), key=repr)), name

@@ -93,3 +93,26 @@ def test_inner_validation(spark, n, positives, allowed):
     assert sample.allows_validation(df) == allowed
     assert found.filter("split = 'validation'").count() == (math.ceil(0.2 * n) if allowed else 0)
     assert found.count() == n
+
+
+@pytest.mark.parametrize("n, share, options", [(200, 3, {}), (200, 9, {"ratio": 1}), (60, 7, {"n_folds": 4, "ratio": 2, "seed": 7}), (12, 5, {}), (9, 20, {}), (0, 3, {})])
+def test_binary_split_is_what_its_parts_give_in_turn(spark, n, share, options):
+    df = spark.createDataFrame([(i, int(i % share == 0), f"t{i}") for i in range(n)], "comment_id long, label int, body string")
+    ratio, n_folds, seed = (options.get(k, v) for k, v in (("ratio", 3), ("n_folds", 3), ("seed", 42)))
+    split = sample.stratified(df, 0.2, 0.2, seed)
+    kept = sample.folds(sample.downsample(split.filter("split = 'train'"), ratio, seed), n_folds, seed)
+    fold = {r.comment_id: r.fold for r in kept.collect()}
+    want = sorted((r.comment_id, r.label, r.body, r.split, fold.get(r.comment_id)) for r in split.collect())
+    found = sample.binary_split(df, **options)
+    assert found.columns == [*df.columns, "split", "fold"]
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_binary_split_looks_twice(spark, monkeypatch):
+    """One query counts the classes, one finds the keys of all cuts."""
+    df = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "comment_id long, label int")
+    looked = []
+    for name in ("_class_sizes", "_keys_at"):
+        monkeypatch.setattr(sample, name, lambda *a, f=getattr(sample, name), **b: (looked.append(f.__name__), f(*a, **b))[1])
+    sample.binary_split(df).count()
+    assert looked == ["_class_sizes", "_keys_at"]

@@ -1,3 +1,6 @@
+import random
+import re
+import sys
 import unicodedata
 
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from textsignal.functions import text
 from textsignal.functions.lexicon import (
     AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, JOB, MODERATE, NEGATIONS, OPTIMISM_SUBSTRINGS, SEVERE,
+    Lexicon,
 )
 from textsignal.operators import label
 
@@ -103,6 +107,60 @@ def test_accents(spark):
     assert apply(spark, values, text.strip_accents) == want
 
 
+def test_accents_of_every_character(spark):
+    """Equal to the decomposition without combining characters, for all characters that have a meaning here."""
+    codes = [c for c in range(1, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(map(chr, codes[i:i + 97])) for i in range(0, len(codes), 97)]
+    for got, t in zip(apply(spark, texts, text.strip_accents), texts, strict=True):
+        assert got == text.without_marks(t)
+    alone = [chr(c) for c in codes if text.without_marks(chr(c)) != chr(c)]
+    assert len(alone) > 15_000
+    assert apply(spark, alone, text.strip_accents) == [text.without_marks(c) for c in alone]
+
+
+def test_accents_of_other_scripts(spark):
+    values = ["हिन्दी किताब", "ภาษาไทยที่นี่", "Ελλάδα ἄνθρωπος", "Й й ё", "한국어 사람", "ｆｕｌｌ　ｗｉｄｔｈ", "עִבְרִית", "مَرْحَبًا", "𝔘nicode ﷺ", None, ""]
+    assert apply(spark, values, text.strip_accents) == [None if v is None else text.without_marks(v) for v in values]
+    words = apply(spark, values, text.tokens)
+    assert words == [re.findall(r"\w\w+", text.without_marks((v or "").lower())) for v in values]
+
+
+def test_found_terms_of_all_lists_in_one_pass(spark):
+    """Equal to a test of each term by itself, for terms that overlap, nest, follow each other and stand at edges."""
+    lists = [Lexicon("a", ("machine", "machine learning", "learning", "learning curve", "curve")), Lexicon("b", ("ai", "laid off", "off", "machine learning curve"))]
+    words = ["machine", "learning", "curve", "ai", "laid", "off", "machines", "-", "é", "_ai", "ai."]
+    rng = random.Random(3)
+    values = [rng.choice([" ", "  ", ", "]).join(rng.choice(words) for _ in range(rng.randrange(7))) for _ in range(300)] + [None, "", "ai", "ai ai"]
+    found = apply(spark, values, lambda t: text.found_terms(t, *lists))
+    edge = r"(?<!\w){}(?!\w)"
+    want = [{t for x in lists for t in x.terms if re.search(edge.format(re.escape(t)), v or "")} for v in values]
+    assert [set(f) for f in found] == want and [len(f) for f in found] == [len(w) for w in want]
+    for x in lists:
+        assert apply(spark, values, lambda t, x=x: text.count_of(text.found_terms(t, *lists), x)) == [len(w & set(x.terms)) for w in want]
+        assert apply(spark, values, lambda t, x=x: text.any_of(text.found_terms(t, *lists), x)) == [bool(w & set(x.terms)) for w in want]
+    with pytest.raises(ValueError):
+        text.found_terms(F.col("t"), AI, AI_SUBSTRINGS)
+
+
+@pytest.mark.parametrize("lexicon", [AI, JOB, ANXIETY, AI_SUBSTRINGS, ANXIETY_SUBSTRINGS, OPTIMISM_SUBSTRINGS])
+def test_hits_equal_a_test_of_each_term(spark, lexicon):
+    rng = random.Random(9)
+    parts = [*lexicon.terms, "x", "", "s"]
+    values = ["".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(9))) for _ in range(300)]
+
+    def holds(t, v):
+        return t in v if not lexicon.whole_words else re.search(rf"(?<!\w){re.escape(t)}(?!\w)", v)
+
+    want = [sum(bool(holds(t, v)) for t in lexicon.terms) for v in values]
+    assert apply(spark, values, lambda t: text.hits(t, lexicon)) == want
+    assert apply(spark, values, lambda t: text.any_hit(t, lexicon)) == [n > 0 for n in want]
+
+
+def test_severity_takes_one_pass(spark):
+    plan = spark.range(1).select(text.severity(F.col("id").cast("string"), label.TIERS).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1 and "rlike" not in plan.lower()
+
+
 def test_tokens_and_bigrams(spark):
     found = apply(spark, ["I've a BIG café", "one", ""], lambda t: text.tokens(t))
     assert found == [["ve", "big", "cafe"], ["one"], []]

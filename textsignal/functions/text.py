@@ -60,27 +60,57 @@ def any_hit(col: Column, lexicon: Lexicon) -> Column:
 
     Plain substring tests rule most texts out before the regular expression runs.
     """
-    found = col.rlike(lexicon.regex)
-    return _contains_any(col, lexicon.needles) & found if lexicon.needles else found
+    return may_hit(col, lexicon) & col.rlike(lexicon.regex)
+
+
+def may_hit(col: Column, lexicon: Lexicon) -> Column:
+    """False for most texts without a term, by plain substring tests alone."""
+    return _contains_any(col, _needles(lexicon))
+
+
+def _needles(lexicon: Lexicon) -> Sequence[str]:
+    """Substrings of which any text with a term holds at least one."""
+    return lexicon.needles or [t for t in lexicon.terms if not any(o != t and o in t for o in lexicon.terms)]
+
+
+def found_terms(col: Column, *lexicons: Lexicon) -> Column:
+    """All different terms of the lists that occur in lower-case ``col``, from one pass over it; null has none.
+
+    The expression matches nothing but looks ahead from every place where a term can begin, so terms that overlap are all
+    found. Of terms that begin at one place it gives the longest; those that begin it, by the terms' own words, follow.
+    """
+    every = Lexicon("+".join(x.name for x in lexicons), tuple(dict.fromkeys(t for x in lexicons for t in x.terms)), lexicons[0].whole_words)
+    if any(x.whole_words != every.whole_words for x in lexicons):
+        raise ValueError("lists of whole words and of substrings can't share a pass")
+    text = F.coalesce(col, F.lit(""))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(every.ahead), F.lit(1)))
+    for term, shorter in every.prefixes.items():
+        found = F.when(F.array_contains(found, term), F.array_union(found, F.array(*map(F.lit, shorter)))).otherwise(found)
+    return F.when(may_hit(text, every), found).otherwise(F.array().cast("array<string>"))
+
+
+def count_of(found: Column, lexicon: Lexicon) -> Column:
+    """How many terms of a list are among the found ones."""
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, lexicon.terms))))
+
+
+def any_of(found: Column, lexicon: Lexicon) -> Column:
+    """Whether a term of a list is among the found ones."""
+    return F.arrays_overlap(found, F.array(*map(F.lit, lexicon.terms)))
 
 
 def hits(col: Column, lexicon: Lexicon) -> Column:
     """Number of different terms that occur in lower-case ``col``; null counts 0."""
-    text = F.coalesce(col, F.lit(""))
-    if lexicon.single_words:
-        found = F.regexp_extract_all(text, F.lit(lexicon.regex), F.lit(0))
-        return F.when(
-            _contains_any(text, lexicon.needles), F.size(F.array_distinct(found))
-        ).otherwise(0)
-    tests = [text.contains(t) for t in lexicon.terms]
-    if lexicon.whole_words:
-        tests = [test & text.rlike(lexicon.pattern(t)) for test, t in zip(tests, lexicon.terms, strict=True)]
-    return reduce(Column.__add__, [t.cast("int") for t in tests])
+    return F.size(found_terms(col, lexicon))
 
 
 def severity(col: Column, tiers: Sequence[tuple[Lexicon, int]]) -> Column:
-    """Weighted number of different terms that occur in lower-case ``col``."""
-    return reduce(Column.__add__, [hits(col, lexicon) * weight for lexicon, weight in tiers])
+    """Weighted number of different terms that occur in lower-case ``col``; one pass finds those of all tiers."""
+    weighed = [(F.array(*map(F.lit, lexicon.terms)), weight) for lexicon, weight in tiers]
+    return F.aggregate(
+        found_terms(col, *[lexicon for lexicon, _ in tiers]), F.lit(0),
+        lambda total, term: total + sum((F.when(F.array_contains(terms, term), weight).otherwise(0) for terms, weight in weighed), F.lit(0)),
+    )
 
 
 def mask(col: Column, lexicon: Lexicon) -> Column:
@@ -97,41 +127,52 @@ def text_length(col: Column) -> Column:
     return F.length(F.coalesce(col, F.lit("")))
 
 
-def _latin_folds() -> tuple[str, str, dict[str, str]]:
-    """Accented Latin letters by Unicode's own decomposition rule."""
-    single, several = {}, {}
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
-        char = chr(code)
-        if unicodedata.category(char)[0] not in "LN":
-            continue
-        folded = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if folded != char:
-            (single if len(folded) == 1 else several)[char] = folded
-    return "".join(single), "".join(single.values()), several
+def without_marks(text: str) -> str:
+    """Unicode's compatibility decomposition without the characters that combine with others."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _latin_folds() -> tuple[str, str]:
+    """Accented Latin letters that fold to one letter, and those letters."""
+    codes = (chr(c) for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)])
+    folds = {c: without_marks(c) for c in codes if unicodedata.category(c)[0] in "LN"}
+    single = {c: f for c, f in folds.items() if f != c and len(f) == 1}
+    return "".join(single), "".join(single.values())
 
 
-_ACCENTED, _PLAIN, _LIGATURES = _latin_folds()
+def _combining() -> str:
+    """A class of the characters whose combining class isn't 0, as ranges."""
+    ends: list[list[int]] = []
+    for code in range(0x300, 0x20000):
+        if unicodedata.combining(chr(code)):
+            if ends and ends[-1][1] == code - 1:
+                ends[-1][1] = code
+            else:
+                ends.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ends) + "]+"
+
+
+_ACCENTED, _PLAIN = _latin_folds()
+_COMBINING = _combining()
 
 
 def _is_ascii(col: Column) -> Column:
     return F.octet_length(col) == F.length(col)
 
 
+def _decomposed(col: Column) -> Column:
+    """The compatibility decomposition, by the Unicode library that Spark's collations use."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(col, F.lit("")), F.lit(True))
+
+
 def strip_accents(col: Column) -> Column:
-    """Latin letters without their accents, ligatures spelt out, combining marks gone.
+    """Text without accents, in any script: decomposed, and without what combines; null stays null.
 
-    ASCII text is passed through, and text that is ASCII once its accents are gone
-    skips the rest.
+    Vowel signs that do not combine stay, as they are, and ligatures are spelt out. ASCII text is passed through, and
+    text that is ASCII once Latin letters have lost their accents skips the decomposition.
     """
     plain = F.when(_is_ascii(col), col).otherwise(F.translate(col, _ACCENTED, _PLAIN))
-    spelt = reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
-        _LIGATURES.items(),
-        F.regexp_replace(plain, r"\p{M}+", ""),
-    )
-    return F.when(_is_ascii(plain), plain).otherwise(spelt)
+    return F.when(_is_ascii(plain), plain).when(col.isNotNull(), F.regexp_replace(_decomposed(plain), _COMBINING, ""))
 
 
 def tokens(col: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, SQLTransformer,
-    StringIndexer, VectorAssembler,
+    StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +66,11 @@ class TermExtractor(_Stage, Transformer):
         )
 
 
-def term_counts(df: DataFrame, terms: str) -> DataFrame:
-    """``term, tf, df``: occurrences and texts per term, in one pass and one shuffle; the null term counts all texts."""
+def term_counts(df: DataFrame, terms: str, fold: str | None = None, n_folds: int = 0) -> DataFrame:
+    """``term, tf, df``: occurrences and texts per term, in one pass and one shuffle; the null term counts all texts.
+
+    With a fold column also ``tf_<k>, df_<k>`` of each fold's own texts, from the same pass.
+    """
     def marked(words: Column, tf: int) -> Column:
         return F.transform(
             words, lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(1 - tf).alias("df"))
@@ -75,26 +78,44 @@ def term_counts(df: DataFrame, terms: str) -> DataFrame:
 
     text_itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
     all_ = F.concat(marked(F.col(terms), 1), marked(F.array_distinct(terms), 0), text_itself)
-    return df.select(F.inline(all_)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    place = [F.col(fold).alias("_fold")] if fold else []
+    sums = [F.sum(c).alias(c) for c in ("tf", "df")]
+    for k in range(n_folds):
+        sums += [F.sum(F.when(F.col("_fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for c in ("tf", "df")]
+    return df.select(*place, F.inline(all_)).groupBy("term").agg(*sums)
 
 
-def vocabulary(df: DataFrame, terms: str, min_df: int, max_df: float, size: int) -> DataFrame:
-    """``term, tf, df, idf`` of the ``size`` most frequent terms within the text-frequency limits, ties in term order.
+def limited(counts: DataFrame, min_df: int, max_df: float, size: int, without: int | None = None) -> DataFrame:
+    """``term, tf, df, idf`` of the ``size`` most frequent terms within the text-frequency limits, from stored counts.
 
-    The smoothed idf is ``ln((1 + n) / (1 + df)) + 1``. The number of texts n comes from the counts' own
-    null term, and the counts, a row per term, are stored: the texts are read once.
+    ``without`` takes a fold's own counts off, so all folds' vocabularies come from one count.
+    The smoothed idf is ``ln((1 + n) / (1 + df)) + 1``; the number of texts n is the counts' own null term.
     """
-    counts = cut_lineage(term_counts(df, terms), "term-counts")
+    if without is not None:
+        counts = counts.select("term", *[(F.col(c) - F.col(f"{c}_{without}")).alias(c) for c in ("tf", "df")]).filter("df > 0")
     n = F.coalesce(counts.filter("term IS NULL").select("df").scalar(), F.lit(0))
     inside = F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
     found = counts.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1).filter(inside)
-    return found.orderBy(F.desc("tf"), "term").limit(size)
+    return found.select("term", "tf", "df", "idf").orderBy(F.desc("tf"), "term").limit(size)
+
+
+def vocabulary(df: DataFrame, terms: str, min_df: int, max_df: float, size: int) -> DataFrame:
+    """``term, tf, df, idf`` of the ``size`` most frequent terms within the text-frequency limits, ties in term order.
+
+    The counts, a row per term, are stored: the texts are read once.
+    """
+    return limited(cut_lineage(term_counts(df, terms), "term-counts"), min_df, max_df, size)
 
 
 def term_weights(df: DataFrame, key: str, terms: str, words: DataFrame) -> DataFrame:
-    """``key, term, weight``: the L2-normal TF-IDF entries of each text as rows, over the terms of a vocabulary."""
-    tf = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    raw = tf.join(words.select("term", "idf"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    """``key, term, weight``: the L2-normal TF-IDF entries of each text as rows, over the terms of a vocabulary.
+
+    Texts are placed by key once, as arrays; their terms meet the vocabulary, whose size is bounded,
+    before they are counted, and counts and norms of a key stay where it is.
+    """
+    placed = df.select(key, terms).repartition(key)
+    met = placed.select(key, F.explode(terms).alias("term")).join(F.broadcast(words.select("term", "idf")), "term")
+    raw = met.groupBy(key, "term", "idf").agg((F.count("*") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
@@ -110,8 +131,17 @@ class TermWeights(_Stage, Estimator):
     size = Param(Params._dummy(), "size", "largest vocabulary", TypeConverters.toInt)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        limits = [self.getOrDefault(p) for p in (self.minDF, self.maxDF, self.size)]
-        found = vocabulary(df, self.getInputCol(), *limits).collect()
+        return self._model(vocabulary(df, self.getInputCol(), *self._limits()))
+
+    def fit_folds(self, df: DataFrame, fold: str, n: int) -> list[PipelineModel]:
+        counts = cut_lineage(term_counts(df, self.getInputCol(), fold, n), "fold-term-counts")
+        return [self._model(limited(counts, *self._limits(), without=k)) for k in range(n)]
+
+    def _limits(self) -> list:
+        return [self.getOrDefault(p) for p in (self.minDF, self.maxDF, self.size)]
+
+    def _model(self, words: DataFrame) -> PipelineModel:
+        found = words.collect()
         if not found:
             raise ValueError("empty vocabulary: no term is within the text-frequency limits")
         out = self.getOutputCol()
@@ -126,8 +156,17 @@ class RangeScaler(_Stage, Estimator):
     """Min-max scaling fitted on the training rows, not clipped; a constant column gives 0."""
 
     def _fit(self, df: DataFrame) -> SQLTransformer:
+        return self._model([df.agg(F.min(self.getInputCol()), F.max(self.getInputCol())).first()])
+
+    def fit_folds(self, df: DataFrame, fold: str, n: int) -> list[SQLTransformer]:
+        col = self.getInputCol()
+        ends = {r[0]: r[1:] for r in df.groupBy(fold).agg(F.min(col), F.max(col)).collect()}
+        return [self._model([e for f, e in ends.items() if f != k]) for k in range(n)]
+
+    def _model(self, ends: Sequence[Sequence]) -> SQLTransformer:
         col, out = self.getInputCol(), self.getOutputCol()
-        low, high = df.agg(F.min(col), F.max(col)).first()
+        low = min((a for a, _ in ends if a is not None), default=None)
+        high = max((b for _, b in ends if b is not None), default=None)
         low, width = low or 0, ((high or 0) - (low or 0)) or 1
         scaled = f"(coalesce({col}, 0) - {low}) / CAST({width} AS double) AS {out}"
         return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
@@ -158,12 +197,34 @@ class MostFrequentFill(_Stage, Estimator):
         return ConstantFill(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), value=value)
 
 
-def one_hot(col: str, out: str) -> list:
-    """Stages for a one-hot column over sorted values; an unseen value gives all zeros."""
-    return [
-        StringIndexer(inputCol=col, outputCol=f"_{out}_id", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol=f"_{out}_id", outputCol=out, dropLast=True),
-    ]
+class OneHot(_Stage, Estimator):
+    """Nulls filled with the most frequent value, then a one-hot column over the values in order; an unseen value gives all zeros.
+
+    ``largest`` keeps that many of the most frequent values, by an exact count, ties in value order;
+    others give all zeros, too. 0, the default, keeps all. The kept values reach the driver.
+    """
+
+    largest = Param(Params._dummy(), "largest", "values kept, 0 for all", TypeConverters.toInt)
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        return self._model(df, df.groupBy(F.col(self.getInputCol()).alias("value")).agg(F.count("*").alias("n")))
+
+    def fit_folds(self, df: DataFrame, fold: str, n: int) -> list[PipelineModel]:
+        own = [F.count_if(F.col(fold) == k).alias(f"n_{k}") for k in range(n)]
+        counts = cut_lineage(df.groupBy(F.col(self.getInputCol()).alias("value")).agg(F.count("*").alias("n"), *own), "fold-values")
+        return [self._model(df, counts.select("value", (F.col("n") - F.col(f"n_{k}")).alias("n"))) for k in range(n)]
+
+    def _model(self, df: DataFrame, counts: DataFrame) -> PipelineModel:
+        counts = counts.filter("value IS NOT NULL AND n > 0").orderBy(F.desc("n"), "value")
+        if self.isDefined(self.largest) and self.getOrDefault(self.largest):
+            counts = counts.limit(self.getOrDefault(self.largest))
+        names = [r["value"] for r in counts.collect()] or [""]
+        filled, place = f"_{self.getOutputCol()}_filled", f"_{self.getOutputCol()}_id"
+        fill = ConstantFill(inputCol=self.getInputCol(), outputCol=filled, value=names[0])
+        index = StringIndexerModel.from_labels(sorted(names), inputCol=filled, outputCol=place, handleInvalid="keep")
+        # the encoder reads the number of values from the index column's metadata
+        hot = OneHotEncoder(inputCol=place, outputCol=self.getOutputCol(), dropLast=True).fit(index.transform(fill.transform(df)))
+        return PipelineModel(stages=[fill, index, hot])
 
 
 def default_stop_words() -> list[str]:
@@ -173,12 +234,12 @@ def default_stop_words() -> list[str]:
 def pipeline(
     mask: Lexicon | None = ANXIETY, stop_words: Sequence[str] | None = None, min_df: int = 2,
     max_df: float = 0.95, size: int = 30_000, max_tokens: int = 0,
-    body: str = "clean_body", community: str = "subreddit",
+    body: str = "clean_body", community: str = "subreddit", max_communities: int = 0,
 ) -> Pipeline:
     """Stages from text and community to the ``features`` vector.
 
     ``mask`` blanks the label's words out of the text (binary model); None keeps them
-    (intensity model).
+    (intensity model). ``max_communities`` keeps the most frequent communities only, 0 all.
     """
     words = list(stop_words) if stop_words is not None else default_stop_words()
     shown, stages = body, []
@@ -190,8 +251,7 @@ def pipeline(
         TermWeights(inputCol="_terms", outputCol="_text", minDF=min_df, maxDF=max_df, size=size),
         TextLength(inputCol=body, outputCol="_length"),
         RangeScaler(inputCol="_length", outputCol="_text_len"),
-        MostFrequentFill(inputCol=community, outputCol="_community"),
-        *one_hot("_community", "_community_hot"),
+        OneHot(inputCol=community, outputCol="_community_hot", largest=max_communities),
         VectorAssembler(inputCols=["_text", "_text_len", "_community_hot"], outputCol="features"),
     ]
     return Pipeline(stages=stages)
@@ -206,10 +266,35 @@ def featurize(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, F.col("features").alias("features", metadata={}))
 
 
+def fit_folds(pipeline: Pipeline, df: DataFrame, fold: str, n: int, keep: Sequence[str] = ()) -> tuple[DataFrame, list[PipelineModel]]:
+    """The pipeline fitted for each fold on the rows outside it, without a pass over the texts for each.
+
+    Stages that need no fit run once, as long as their input is there, and what the others read is stored with
+    ``keep``. Each estimator then counts once by fold; a fold's model comes from all counts less its own.
+    Returns the stored rows and a model for each fold over them.
+    """
+    rest = []
+    shared = df
+    for stage in pipeline.getStages():
+        if isinstance(stage, Transformer) and set(_inputs(stage)) <= set(shared.columns):
+            shared = stage.transform(shared)
+        else:
+            rest.append(stage)
+    read = {c for stage in rest for c in _inputs(stage)}
+    shared = cut_lineage(shared.select(*dict.fromkeys([fold, *keep, *(c for c in shared.columns if c in read)])), "prepared")
+    made = [stage.fit_folds(shared, fold, n) if isinstance(stage, Estimator) else [stage] * n for stage in rest]
+    return shared, [PipelineModel(stages=[m[k] for m in made]) for k in range(n)]
+
+
+def _inputs(stage) -> list[str]:
+    return stage.getInputCols() if isinstance(stage, HasInputCols) else [stage.getInputCol()]
+
+
 def feature_names(model: PipelineModel) -> list[str]:
     """Names of the ``features`` slots, in order."""
-    terms = next(s for s in model.stages if isinstance(s, PipelineModel)).stages[0].vocabulary
-    communities = next(s for s in model.stages if hasattr(s, "labels")).labels
+    parts = [part for stage in model.stages if isinstance(stage, PipelineModel) for part in stage.stages]
+    terms = next(p for p in parts if isinstance(p, CountVectorizerModel)).vocabulary
+    communities = next(p for p in parts if isinstance(p, StringIndexerModel)).labels
     return [f"text__{t}" for t in terms] + ["meta__text_len"] + [f"subreddit__x0_{c}" for c in communities]
 
 

@@ -13,6 +13,7 @@ from textsignal.functions.lexicon import (
 )
 
 TIERS = ((SEVERE, 2), (MODERATE, 1))
+MIN_LENGTH = 10  # characters of a text that a model may use
 
 
 def with_clean_body(df: DataFrame, clean: Callable[[Column], Column] = text.clean_light) -> DataFrame:
@@ -41,6 +42,26 @@ def weak_label(df: DataFrame, lexicon: Lexicon = ANXIETY, label_text: str = "cle
     return df.withColumn("label", F.when(text.any_hit(F.col(label_text), lexicon), 1).otherwise(0))
 
 
+def labelled(
+    df: DataFrame, themes: Sequence[Lexicon] = (AI, JOB), lexicon: Lexicon = ANXIETY, communities: Sequence[str] | None = None
+) -> DataFrame:
+    """``candidates`` with ``weak_label``, from one pass over each text that finds the terms of all lists.
+
+    Plain substring tests for each theme come first. The found terms are one array a text, behind
+    an ``explode`` like the text, so that no list's test repeats the pass.
+    """
+    if communities is not None:
+        df = df.filter(F.lower("subreddit").isin([c.lower() for c in communities]))
+    clean = with_clean_body(df)
+    for theme in themes:
+        clean = clean.filter(text.may_hit(F.col("clean_body"), theme))
+    kept = clean.columns
+    terms = clean.select(*kept, F.explode(F.array(text.found_terms(F.col("clean_body"), *themes, lexicon))).alias("_terms"))
+    for theme in themes:
+        terms = terms.filter(text.any_of(F.col("_terms"), theme))
+    return terms.select(*kept, F.when(text.any_of(F.col("_terms"), lexicon), 1).otherwise(0).alias("label"))
+
+
 def with_severity(df: DataFrame, tiers: Sequence[tuple[Lexicon, int]] = TIERS, body: str = "body") -> DataFrame:
     """``severity_score`` from the raw lower-cased body, links included."""
     return df.withColumn("severity_score", text.severity(F.lower(body), tiers))
@@ -91,7 +112,7 @@ def valid_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(number.isin(0.0, 1.0)).withColumn(label, number.cast("int"))
 
 
-def long_enough(df: DataFrame, col: str = "clean_body", min_length: int = 10) -> DataFrame:
+def long_enough(df: DataFrame, col: str = "clean_body", min_length: int = MIN_LENGTH) -> DataFrame:
     return df.filter(F.length(col) >= min_length)
 
 

@@ -12,6 +12,7 @@ the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,9 +77,13 @@ def _keys_at(
 
 def _parts(
     df: DataFrame, by: str, sizes: Mapping[object, int], ends: Mapping[object, Sequence[int]],
-    seed: int, id_col: str,
+    seed: int, id_col: str, value_of: Column | None = None,
 ) -> Column:
-    """The chunk of its class's hash order a row falls in; ``ends`` are running ranks."""
+    """The chunk of its class's hash order a row falls in; ``ends`` are running ranks.
+
+    ``value_of`` is the class as an expression, for a result that doesn't need the column ``by``.
+    """
+    of = F.col(by) if value_of is None else value_of
     inner = {v: sorted({e for e in es if 0 < e < sizes[v]}) for v, es in ends.items()}
     inner = {v: es for v, es in inner.items() if es}
     largest = max((sizes[v] for v in inner), default=0)
@@ -92,7 +97,7 @@ def _parts(
                 chunk = F.lit(i)
             elif end > 0:
                 chunk = F.when(key <= keys[value, end], i).otherwise(chunk)
-        part = F.when(F.col(by) == value, chunk).otherwise(part)
+        part = F.when(of == value, chunk).otherwise(part)
     return part
 
 
@@ -128,6 +133,13 @@ def shares(sizes: Mapping[object, int], drawn: int) -> dict:
     return taken
 
 
+def _quotas(sizes: Mapping[object, int], test: float, validation: float) -> tuple[dict, dict]:
+    """Rows per class of the test part, and of the validation part of the rest."""
+    n_test = shares(sizes, ceil(sum(sizes.values()) * test))
+    left = {v: n - n_test[v] for v, n in sizes.items()}
+    return n_test, shares(left, ceil(sum(left.values()) * validation))
+
+
 def stratified(
     df: DataFrame, test: float = 0.2, validation: float | None = None, seed: int = 42,
     label: str = "label", id_col: str = "comment_id",
@@ -141,23 +153,74 @@ def stratified(
     if min(sizes.values(), default=0) < 2:
         by, rows = "_all", df.withColumn("_all", F.lit(0))
         sizes = {0: sum(sizes.values())}
-    n_test = shares(sizes, ceil(sum(sizes.values()) * test))
-    left = {v: n - n_test[v] for v, n in sizes.items()}
-    n_validation = shares(left, ceil(sum(left.values()) * (validation or 0)))
+    n_test, n_validation = _quotas(sizes, test, validation or 0)
     ends = {v: [n_test[v], n_test[v] + n_validation[v]] for v in sizes}
     part = _parts(rows, by, sizes, ends, seed, id_col)
     split = F.element_at(F.array(*map(F.lit, ("test", "validation", "train"))), part + 1)
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
-def temporal(
-    df: DataFrame, fraction: float = 0.7, seed: int = 42, id_col: str = "comment_id"
+def _fold_ends(n: int, m: int) -> list[int]:
+    """Where all folds but the last end among m rows."""
+    return [(i + 1) * (m // n) + min(i + 1, m % n) for i in range(n - 1)]
+
+
+def binary_split(
+    df: DataFrame, test: float = 0.2, validation: float = 0.2, ratio: int = 3, n_folds: int = 3, seed: int = 42,
+    label: str = "label", id_col: str = "comment_id",
 ) -> DataFrame:
-    """Add ``split``: the first ``int(fraction * n)`` rows by year and month are ``train``.
+    """Add ``split`` and ``fold``: what ``stratified``, ``downsample`` of its training part and ``folds`` of the rest give in turn.
 
-    Only the month in which the cut falls is divided, in hash order.
+    All of them take a class's rows in one hash order, so each part is a stretch of it: one job counts
+    the classes, one looks up the keys at all cuts. ``fold`` is null for rows that no fit uses.
     """
-    rows = df.withColumn("_period", F.col("yyyy") * 100 + F.col("mm"))
+    sizes = _class_sizes(df, label)
+    if min(sizes.values(), default=0) < 2:
+        split = stratified(df, test, validation, seed, label, id_col)
+        kept = folds(downsample(split.filter("split = 'train'"), ratio, seed, label, id_col), n_folds, seed, label, id_col)
+        return split.join(kept.select(id_col, "fold"), id_col, "left").select(*split.columns, "fold")
+    n_test, n_validation = _quotas(sizes, test, validation)
+    left = {v: n - n_test[v] - n_validation[v] for v, n in sizes.items()}
+    ends = {}
+    for v in sizes:
+        kept = left[v] if v == 1 else min(left[v], ratio * left.get(1, 0))
+        first = n_test[v] + n_validation[v]
+        ends[v] = [n_test[v], first, *(first + e for e in _fold_ends(n_folds, kept)), first + kept]
+    part = _parts(df, label, sizes, ends, seed, id_col)
+    names = ("test", "validation", *["train"] * (n_folds + 1))
+    rows = df.withColumn("_part", part)
+    split = F.element_at(F.array(*map(F.lit, names)), F.col("_part") + 1)
+    fold = F.when(F.col("_part").between(2, n_folds + 1), F.col("_part") - 2)
+    return rows.select(*df.columns, split.alias("split"), fold.alias("fold"))
+
+
+def _period() -> Column:
+    return F.col("yyyy") * 100 + F.col("mm")
+
+
+@dataclass(frozen=True)
+class TemporalCut:
+    """A cut in time: rows of months before it are early, those of the month it falls in by their place in hash order."""
+
+    is_early: Column
+    last_early: int | None  # month of the last early rows
+    first_late: int | None
+
+    def split(self, df: DataFrame) -> DataFrame:
+        """Add ``split``: ``train`` or ``test``."""
+        return df.withColumn("split", F.when(self.is_early, "train").otherwise("test"))
+
+    def early(self, df: DataFrame) -> DataFrame:
+        """The early rows; of a table stored by month, other months aren't read."""
+        return df.filter(F.lit(False) if self.last_early is None else (_period() <= self.last_early) & self.is_early)
+
+    def late(self, df: DataFrame) -> DataFrame:
+        return df.filter(F.lit(False) if self.first_late is None else (_period() >= self.first_late) & ~self.is_early)
+
+
+def temporal_cut(df: DataFrame, fraction: float = 0.7, seed: int = 42, id_col: str = "comment_id") -> TemporalCut:
+    """Where the first ``int(fraction * n)`` rows by year and month end; only one month is divided, in hash order."""
+    rows = df.withColumn("_period", _period())
     sizes = _class_sizes(rows, "_period")
     left, whole, divided = floor(sum(sizes.values()) * fraction), [], {}
     for period in sorted(sizes):
@@ -166,11 +229,18 @@ def temporal(
         elif left > 0:
             divided[period] = [left]
         left = max(left - sizes[period], 0)
-    part = _parts(rows, "_period", sizes, divided, seed, id_col)
+    part = _parts(rows, "_period", sizes, divided, seed, id_col, _period())
     last_whole = max(whole, default=None)
-    early = F.coalesce(part == 0, F.col("_period") <= last_whole, F.lit(False))
-    split = F.when(early, "train").otherwise("test")
-    return rows.withColumn("split", split).select(*df.columns, "split")
+    first = min(divided, default=min((p for p in sizes if last_whole is None or p > last_whole), default=None))
+    early = F.coalesce(part == 0, _period() <= last_whole, F.lit(False))
+    return TemporalCut(early, max(divided, default=last_whole), first)
+
+
+def temporal(
+    df: DataFrame, fraction: float = 0.7, seed: int = 42, id_col: str = "comment_id"
+) -> DataFrame:
+    """Add ``split``: the first ``int(fraction * n)`` rows by year and month are ``train``."""
+    return temporal_cut(df, fraction, seed, id_col).split(df)
 
 
 def folds(
@@ -179,7 +249,7 @@ def folds(
 ) -> DataFrame:
     """Add a random fold number; in every class fold sizes differ by at most one row."""
     sizes = _class_sizes(df, label)
-    ends = {v: [(i + 1) * (m // n) + min(i + 1, m % n) for i in range(n - 1)] for v, m in sizes.items()}
+    ends = {v: _fold_ends(n, m) for v, m in sizes.items()}
     return df.withColumn(name, _parts(df, label, sizes, ends, seed, id_col))
 
 

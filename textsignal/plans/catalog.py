@@ -43,7 +43,7 @@ def row_query(name: str, **columns: Callable[[], Column]) -> None:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return label.weak_label(label.candidates(fixtures.comments(spark, folder)))
+    return label.labelled(fixtures.comments(spark, folder))
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,14 +120,17 @@ def _(spark, folder):
 
 @query("a05_reuse_stage")
 def _(spark, folder):
-    path = new_path(spark, "stage")
-    first = tables.stage(spark, path, lambda: labelled(spark, folder)).count()
-
-    def never() -> DataFrame:
-        raise AssertionError("a finished stage must not be computed again")
-
-    again = tables.stage(spark, path, never)
-    return again.groupBy("label").agg(F.count("*").alias("n"), F.lit(first).cast("long").alias("n_first"))
+    """The label job twice on the same table, which is one stage, and once on rows of one year, which is another."""
+    out, stored = new_path(spark, "job"), new_path(spark, "comments")
+    fixtures.comments(spark, folder).write.parquet(stored)
+    comments = tables.read_comments(spark, stored)
+    first = jobs.label_job(spark, comments, out).count()
+    again = jobs.label_job(spark, comments, out)
+    made = len({f.split("/labelled/")[1].split("/")[0] for f in spark.read.parquet(f"{out}/labelled/*").inputFiles()})
+    other = jobs.label_job(spark, comments.filter("yyyy = 2024"), out).count()
+    return again.groupBy("label").agg(
+        F.count("*").alias("n"), F.lit(first).cast("long").alias("n_first"), F.lit(other).cast("long").alias("n_other"), F.lit(made).alias("n_stages"),
+    )
 
 
 @query("a06_write_result")
@@ -415,8 +418,9 @@ def _(spark, folder):
 
 @query("e06_tfidf")
 def _(spark, folder):
-    words = cut_lineage(vocabulary(spark, folder), "vocabulary")
-    found = features.term_weights(terms(spark, folder), "comment_id", "terms", F.broadcast(words))  # at most 30,000 terms
+    rows = cut_lineage(terms(spark, folder).select("comment_id", "terms"), "terms")
+    words = cut_lineage(features.vocabulary(rows, "terms", 2, 0.95, 30_000), "vocabulary")
+    found = features.term_weights(rows, "comment_id", "terms", words)
     return found.select("comment_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -443,9 +447,7 @@ def _(spark, folder):
 @query("e10_one_hot")
 def _(spark, folder):
     rows = prepared(spark, folder).select("comment_id", "subreddit", "label")
-    indexer, encoder = features.one_hot("subreddit", "hot")
-    seen = indexer.fit(rows.filter("label = 1 AND subreddit <> 'other'"))
-    coded = encoder.fit(seen.transform(rows)).transform(seen.transform(rows))
+    coded = features.OneHot(inputCol="subreddit", outputCol="hot").fit(rows.filter("label = 1 AND subreddit <> 'other'")).transform(rows)
     slots = features.vector_entries(F.col("hot"))
     return coded.select("comment_id", "subreddit", F.coalesce(F.try_element_at(slots, F.lit(1))["slot"], F.lit(-1)).alias("slot"))
 
@@ -676,21 +678,22 @@ def _(spark, folder):
     ])
 
 
-def _stage_sizes(spark, out, labelled, vectors):
-    stages = {"filtered": spark.read.parquet(tables.stage_path(f"{out}/filtered")), "labelled": labelled, "features": vectors}
-    return evaluate.union_all([df.agg(F.lit(s).alias("stage"), F.count("*").alias("n")) for s, df in stages.items()])
+def _stage_sizes(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """Rows of each stage, from the folders of the stages themselves."""
+    out = new_path(spark, "job")
+    found = jobs.label_job(spark, fixtures.comments(spark, folder), out)
+    jobs.feature_job(spark, found, out)
+    return evaluate.union_all([
+        spark.read.parquet(f"{out}/{stage}/*").groupBy(F.lit(stage).alias("stage"), *keys).agg(F.count("*").alias("n"))
+        for stage in ("filtered", "labelled", "features")
+    ])
 
 
 @query("x06_stages")
 def _(spark, folder):
-    out = new_path(spark, "job")
-    found = jobs.label_job(spark, fixtures.comments(spark, folder), out, sample_size=400)
-    vectors = jobs.feature_job(spark, found, out, source="400")
-    return _stage_sizes(spark, out, found, vectors)
+    return _stage_sizes(spark, folder, "label")
 
 
 @query("x07_whole_stages")
 def _(spark, folder):
-    out = new_path(spark, "job")
-    found = jobs.label_job(spark, fixtures.comments(spark, folder), out)
-    return _stage_sizes(spark, out, found, jobs.feature_job(spark, found, out))
+    return _stage_sizes(spark, folder)

@@ -199,7 +199,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "a02_cast_period": "SELECT comment_id, yyyy, mm FROM comments",
         "a03_read_labelled_csv": f"SELECT comment_id, md5(body) AS body_md5, subreddit, yyyy, mm, md5(clean_body) AS clean_md5, label, {_type('subreddit')} AS subreddit_type FROM labelled",
         "a04_write_labelled": f"SELECT yyyy, mm, label, {counts} AS n, CAST(sum(length(clean_body)) AS bigint) AS n_chars FROM labelled GROUP BY yyyy, mm, label",
-        "a05_reuse_stage": "SELECT label, count(*) AS n, (SELECT count(*) FROM labelled) AS n_first FROM labelled GROUP BY label",
+        "a05_reuse_stage": "SELECT label, count(*) AS n, (SELECT count(*) FROM labelled) AS n_first, (SELECT count(*) FROM labelled WHERE yyyy = 2024) AS n_other, CAST(1 AS INTEGER) AS n_stages FROM labelled GROUP BY label",
         "a06_write_result": f"SELECT label, {counts} AS count FROM labelled GROUP BY label",
         "a07_markdown": f"SELECT model_name, split_name, printf('| %s | %s | %.4f | %.4f | %.4f | %.4f | %.4f |', model_name, split_name, accuracy, precision, recall, f1, roc_auc) AS line FROM ({_summary()})",
         "b01_clean_light": "SELECT comment_id, clean_body FROM light",
@@ -255,7 +255,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "x01_optimism": f"SELECT comment_id, {_hits('lower(body)', OPTIMISM_SUBSTRINGS)} AS n_optimism, {_hits('lower(body)', OPTIMISM_SUBSTRINGS)} > 0 AS optimistic FROM comments",
         "x02_substring_lexicons": f"SELECT comment_id, {_hits('lower(body)', AI_SUBSTRINGS)} AS n_ai, {_hits('lower(body)', ANXIETY_SUBSTRINGS)} AS n_anxiety FROM comments",
         "x03_year_split": "SELECT comment_id, CASE WHEN yyyy = 2023 THEN 'train' ELSE 'test' END AS split FROM comments WHERE yyyy IN (2023, 2024)",
-        "x06_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM (SELECT 1 FROM labelled QUALIFY {in_class} <= 200) UNION ALL SELECT 'features', count(*) FROM (SELECT clean_body FROM (SELECT comment_id, {_full('body')} AS clean_body FROM labelled QUALIFY {in_class} <= 200)) WHERE length(clean_body) >= 10",
+        "x06_stages": f"SELECT 'filtered' AS stage, label, count(*) AS n FROM labelled GROUP BY label UNION ALL SELECT 'labelled', label, count(*) FROM labelled GROUP BY label UNION ALL SELECT 'features', label, count(*) FROM (SELECT label, {_full('body')} AS clean_body FROM labelled) WHERE length(clean_body) >= 10 GROUP BY label",
         "x07_whole_stages": f"SELECT 'filtered' AS stage, count(*) AS n FROM labelled UNION ALL SELECT 'labelled', count(*) FROM labelled UNION ALL SELECT 'features', count(*) FROM (SELECT {_full('body')} AS clean_body FROM labelled) WHERE length(clean_body) >= 10",
     }
     out = {name: CTES + sql for name, sql in out.items()}

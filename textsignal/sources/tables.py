@@ -28,6 +28,10 @@ LABELLED = T.StructType([
 ])
 
 
+MANIFEST = "_manifest.json"
+PART_BYTES = 16 << 20  # of a table's files in a partition of ``compact``
+
+
 def read_comments(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """The comment table; ``yyyy``/``mm`` folders become columns and prune scans.
 
@@ -49,17 +53,41 @@ def write_labelled(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "yyyy", "mm").write.mode("overwrite").partitionBy("yyyy", "mm").parquet(path)
 
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "quoteAll": True,
+_CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": True,
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
         "nullValue": "\\N", "emptyValue": ""}
 
 
+# What stands for a character that would end a line, or for the sign itself: then each line is a row.
+_ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _texts(df: DataFrame, change: Callable[[F.Column], F.Column]) -> DataFrame:
+    return df.select(*[change(F.col(f"`{f.name}`")).alias(f.name) if f.dataType == T.StringType() else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def write_labelled_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_CSV).csv(path)
+    """CSV with one row a line: in texts, a backslash and an s, n or r stands for backslash, line feed and carriage return."""
+    def escaped(col):
+        for sign, code in _ESCAPES:
+            col = F.replace(col, F.lit(sign), F.lit(code))
+        return col
+
+    _texts(df, escaped).write.mode("overwrite").options(**_CSV).csv(path)
 
 
-def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELLED) -> DataFrame:
-    return spark.read.schema(schema).options(**_CSV).csv(path)
+def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELLED, multi_line: bool = False) -> DataFrame:
+    """What ``write_labelled_csv`` wrote. No row spans lines, so a large file is read by many tasks.
+
+    ``multi_line`` is for files of others, with quoted line ends and no escapes; each is one task.
+    """
+    def plain(col):
+        for sign, code in reversed(_ESCAPES):
+            col = F.replace(col, F.lit(code), F.lit(sign))
+        return col
+
+    df = spark.read.schema(schema).options(**_CSV, multiLine=multi_line).csv(path)
+    return df if multi_line else _texts(df, plain)
 
 
 def write_result(df: DataFrame, path: str) -> None:
@@ -79,6 +107,79 @@ def stage_path(path: str, **settings) -> str:
     return f"{path}/{hashlib.md5(key.encode()).hexdigest()[:12]}"
 
 
+def source_of(df: DataFrame) -> dict:
+    """What a table is made from, so that equal sources mean equal rows.
+
+    Of a table over files: each file with its size and time, listed by the driver as Spark's own scan does, and the
+    plan over them. A table with any other leaf, such as rows of the session, is named by a hash of its rows, which reads them
+    once: their number and the sum of their hashes, whatever their order.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().analyzed().canonicalized()
+    leaves = plan.collectLeaves()
+    kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+    if kinds == {"LogicalRelation"}:
+        shown, most = "spark.sql.debug.maxToStringFields", str((1 << 31) - 1)
+        before = spark.conf.get(shown)
+        spark.conf.set(shown, most)
+        try:
+            made = plan.toString()
+        finally:
+            spark.conf.set(shown, before)
+        return {"files": [_file_state(spark, f) for f in sorted(df.inputFiles())], "plan": hashlib.md5(made.encode()).hexdigest()}
+    if not df.columns:
+        return {"columns": {}, "rows": df.count()}
+    total = F.sum(F.xxhash64(*[F.to_json(F.struct(c)) for c in _quoted(df)]).cast("decimal(38, 0)"))
+    n, of = df.agg(F.count("*"), total).first()
+    return {"columns": dict(df.dtypes), "rows": n, "hash": str(of)}
+
+
+def _quoted(df: DataFrame) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def _file_state(spark: SparkSession, file: str) -> tuple[str, int, int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return file, state.getLen(), state.getModificationTime()
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Put what a stage was made from beside its data; readers of the data skip the file."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path, MANIFEST)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    try:
+        out.write(bytearray(json.dumps(manifest, sort_keys=True, default=str, indent=1).encode()))
+    finally:
+        out.close()
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What the stage at ``path`` was made from; None where nothing is written."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path, MANIFEST)
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+    finally:
+        stream.close()
+
+
+def made_from(spark: SparkSession, path: str, manifest: dict, build: Callable[[str], None]) -> str:
+    """The place of a stage under ``path`` that was made from this manifest; if there is none yet, ``build`` writes it first.
+
+    The folder is named by the manifest's hash, so another input, word list or setting has another folder, and a
+    stage is whole if its job committed and its manifest followed.
+    """
+    place = stage_path(path, **manifest)
+    if not (is_complete(spark, place) and read_manifest(spark, place) is not None):
+        build(place)
+        write_manifest(spark, place, manifest)
+    return place
+
+
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the stage at ``path`` if it is complete, else compute and write it first."""
     if not is_complete(spark, path):
@@ -86,12 +187,47 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
+def has_months(df: DataFrame) -> bool:
+    return {"yyyy", "mm"} <= set(df.columns)
+
+
+def read_labelled(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that ``write_labelled`` wrote; filters on ``yyyy`` and ``mm`` choose the folders that are read."""
+    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
+
+
+def by_month(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder, by month where it has months, and read it back."""
+    if not has_months(df):
+        return cut_lineage(df, name)
+    path = new_path(df.sparkSession, name)
+    write_labelled(df, path)
+    return read_labelled(df.sparkSession, path, df.schema)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back."""
     spark = df.sparkSession
     return stage(spark, new_path(spark, name), lambda: df)
 
 
+def table_bytes(spark: SparkSession, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def compact(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A written table in as few partitions as its size asks for: work that comes back to it often has few tasks."""
+    return spark.read.parquet(path).coalesce(max(1, -(-table_bytes(spark, path) // part_bytes)))
+
+
+def compacted(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back in as few partitions as its size asks for."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return compact(df.sparkSession, path)
+
+
 _BINARY = ("accuracy", "precision", "recall", "f1", "roc_auc")
 _INTENSITY = ("accuracy", "macro_f1", "weighted_f1", "mae")
 _TITLES = {
