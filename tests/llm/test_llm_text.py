@@ -231,6 +231,7 @@ def test_elias_fano_finds_successors(values, spare):
     found = elias_fano.EliasFano(np.array(values, np.uint64), 400 + spare)
     if values:
         assert found.access(np.arange(len(values))).tolist() == values
+    assert found.values().tolist() == values
     asked = np.arange(400 + spare, dtype=np.uint64)
     low, high = len(values) // 4, len(values) - len(values) // 5
     at, there = found.successor(asked, np.full(len(asked), low), np.full(len(asked), high))

@@ -9,6 +9,7 @@ import numpy as np
 STEPS = 65535  # of a quantised value
 FLOOR = -16.0  # log10 of the smallest value
 SLICE = 1 << 16  # lookups done together
+STEP = 4  # a directory has an entry for each 2**STEP ones, or zeros
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
@@ -24,7 +25,7 @@ class EliasFano:
     """A sorted sequence of integers in about 2 + log2(universe / n) bits each.
 
     The low bits stand side by side; the high bits are a bitmap with a one for each element,
-    after as many zeros as its high part says. Sums of ones per word find any zero quickly.
+    after as many zeros as its high part says. Sums by word, and the word of each 16th, find any one or zero quickly.
     """
 
     def __init__(self, values: np.ndarray, universe: int):
@@ -36,10 +37,33 @@ class EliasFano:
         marks = np.zeros(-(-bits // 64) * 64, bool)
         marks[high + np.arange(self.n)] = True
         self.words = np.packbits(marks, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.zeros = np.arange(len(self.words) + 1) * 64 - np.concatenate([[0], np.cumsum(ones)])
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
+        self.zeros = np.arange(len(self.words) + 1) * 64 - self.ones
+        self.nth_one, self.nth_zero = self._directory(self.ones), self._directory(self.zeros)
         self.lows = self._packed(values)
 
+    @staticmethod
+    def _directory(sums: np.ndarray) -> np.ndarray:
+        """The word of each 2**STEP-th one or zero, and the last word."""
+        places = np.arange(0, int(sums[-1]), 1 << STEP)
+        return np.append(np.searchsorted(sums, places, "right") - 1, max(len(sums) - 2, 0)).astype(np.int32)
+
+    @staticmethod
+    def _word(sums: np.ndarray, directory: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The word that holds the one or zero of rank k: between two entries of the directory."""
+        at = k >> STEP
+        word, last = directory[at], directory[at + 1]
+        open_ = np.flatnonzero(word < last)
+        low, high, wanted = word[open_], last[open_], k[open_]
+        while len(open_):
+            middle = (low + high + 1) >> 1
+            here = sums[middle] <= wanted
+            low, high = np.where(here, middle, low), np.where(here, high, middle - 1)
+            word[open_] = low
+            more = low < high
+            open_, low, high, wanted = open_[more], low[more], high[more], wanted[more]
+        return word.astype(np.int64)
+
     def _packed(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n * self.low // 64 + 2, np.uint64)
         if self.low and self.n:
@@ -54,7 +78,7 @@ class EliasFano:
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"words": self.words, "zeros": self.zeros, "lows": self.lows}
+        return {name: getattr(self, name) for name in ("words", "zeros", "ones", "nth_zero", "nth_one", "lows")}
 
     def __len__(self) -> int:
         return self.n
@@ -79,16 +103,22 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the zero of rank k in the bitmap."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
+        word = self._word(self.zeros, self.nth_zero, k)
         return word * 64 + self._inside(~self.words[word], k - self.zeros[word])
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The elements of the given ranks."""
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
-        word = np.searchsorted(ones, i, "right") - 1
-        place = word * 64 + self._inside(self.words[word], i - ones[word])
+        i = np.asarray(i, np.int64)
+        word = self._word(self.ones, self.nth_one, i)
+        place = word * 64 + self._inside(self.words[word], i - self.ones[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)
 
+    def values(self) -> np.ndarray:
+        """All elements in order: the places of the ones, read in one go."""
+        ranks = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))[:self.n] - ranks
+        return (high.astype(np.uint64) << np.uint64(self.low)) | self._low(ranks)
+
     def successor(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of the first element >= x among the ranks from ``low`` to before ``high``, and whether it is x.
 
@@ -134,9 +164,9 @@ class Trie:
     before it. All arrays lie in one memory-mapped file without a name, which goes with the trie.
     """
 
-    def __init__(self, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray],
+    def __init__(self, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray],
                  prob: list[np.ndarray], back: list[np.ndarray]):
-        """``words``: sorted hashes. ``pairs``: sorted numbers of words. ``triples``: sorted numbers of pairs, of their last word and the next one."""
+        """``words``: sorted hashes. ``pairs``: sorted numbers of words. ``triples``: sorted numbers of their first pair and of their second."""
         n, m = len(words), len(pairs[0])
         self.words = EliasFano(words, 1 << 64)
         first = np.searchsorted(pairs[0], np.arange(n + 1))
@@ -144,10 +174,8 @@ class Trie:
         self.pairs, _ = _monotone(pairs[1], first)
         second = np.searchsorted(triples[0], np.arange(m + 1))
         self.second = EliasFano(second, len(triples[0]) + 1)
-        above, middle, word = triples
-        spot, _ = self._find(self.first, self.pairs, middle, word.astype(np.uint64))
-        relative = spot - first[middle] if len(middle) else middle
-        self.triples, _ = _monotone(relative, second)
+        below = triples[1]
+        self.triples, _ = _monotone(below - first[pairs[0][below]] if len(below) else below, second)
         self.prob, self.back = [quantise(p) for p in prob], [quantise(b) for b in back]
         self._map()
 
@@ -162,26 +190,33 @@ class Trie:
             self._file.write(b"\0" * (-self._file.tell() % 64))
         self._file.flush()
         for (owner, key, a), offset in zip(parts, at):
-            view = np.memmap(self._file, a.dtype, "r", offset, a.shape) if a.size else a
+            # a plain view of the mapped file: cheaper to index than its own class
+            view = np.memmap(self._file, a.dtype, "r", offset, a.shape).view(np.ndarray) if a.size else a
             if isinstance(owner, list):
                 owner[key] = view
             else:
                 setattr(owner, key, view)
 
-    @classmethod
-    def _find(cls, pointers: EliasFano, level: EliasFano, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _ranges(pointers: EliasFano, level: EliasFano) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of each context begin and end in the level, and the value that each range starts from."""
+        ends = pointers.values().astype(np.int64)
+        base = np.zeros(len(ends) - 1, np.uint64)
+        inner = np.flatnonzero((ends[:-1] > 0) & (ends[:-1] < ends[1:]))
+        for i in range(0, len(inner), SLICE):
+            base[inner[i:i + SLICE]] = level.access(ends[inner[i:i + SLICE]] - 1)
+        return ends, base
+
+    @staticmethod
+    def _find(ranges: tuple[np.ndarray, np.ndarray], level: EliasFano, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank in the level of a value among the successors of its context, and whether it is there; some at a time."""
-        if len(context) > SLICE:
-            parts = [
-                cls._find(pointers, level, context[i:i + SLICE], value[i:i + SLICE]) for i in range(0, len(context), SLICE)
-            ]
-            return tuple(map(np.concatenate, zip(*parts)))
-        low, high = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
-        base = np.zeros(len(context), np.uint64)
-        inner = np.flatnonzero((low > 0) & (low < high))
-        if len(level):
-            base[inner] = level.access(low[inner] - 1)
-        return level.successor(value + base, low, high)
+        ends, base = ranges
+        at, found = np.zeros(len(context), np.int64), np.zeros(len(context), bool)
+        for i in range(0, len(context), SLICE):
+            part = slice(i, i + SLICE)
+            of = context[part]
+            at[part], found[part] = level.successor(value[part] + base[of], ends[of], ends[of + 1])
+        return at, found
 
     def word(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 if unknown."""
@@ -194,7 +229,7 @@ class Trie:
         """Number of each pair of word numbers, -1 if there is none."""
         out = np.full(len(first), -1)
         known = np.flatnonzero((first >= 0) & (second >= 0))
-        at, found = self._find(self.first, self.pairs, first[known], second[known].astype(np.uint64))
+        at, found = self._find(self._ranges(self.first, self.pairs), self.pairs, first[known], second[known].astype(np.uint64))
         out[known[found]] = at[found]
         return out
 
@@ -202,7 +237,7 @@ class Trie:
         """Number of each trigram, from the number of its first pair, its middle word and its second pair."""
         out = np.full(len(pair), -1)
         known = np.flatnonzero((pair >= 0) & (next_pair >= 0))
-        relative = next_pair[known] - self.first.access(middle[known]).astype(np.int64)
-        at, found = self._find(self.second, self.triples, pair[known], relative.astype(np.uint64))
+        relative = next_pair[known] - self.first.values().astype(np.int64)[middle[known]]
+        at, found = self._find(self._ranges(self.second, self.triples), self.triples, pair[known], relative.astype(np.uint64))
         out[known[found]] = at[found]
         return out

@@ -152,7 +152,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     good, above, below = good[order], above[order], below[order]
     p3 = (c3[good] + k3[above] * p2[below]) / (c2[kept] + k3)[above]
     trie = Trie(
-        word[own], (left[kept], right[kept]), (above, left[kept][below], right[kept][below]),
+        word[own], (left[kept], right[kept]), (above, below),
         [_log(p1), _log(p2), _log(p3)],
         [_log(k2 / (c1[own] + k2)), _log(k3 / (c2[kept] + k3))],
     )
