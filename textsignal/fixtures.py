@@ -42,6 +42,13 @@ NAMES = (
     "mentalhealth", "Anxiety", "depression", "Other", None,
 )
 
+# What stands for each letter where comments are written in other scripts: accented, full-width, composed and
+# presentation forms, ligatures, and a vowel sign, which parts words.
+SCRIPTS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    "\u03ac", "\u0439", "\ud55c", "\uff44", "\u1f04", "\ufb01", "\u304c", "\u093f", "\u0958", "\u01f0", "\u045c", "\u0142", "\u2177",
+    "\u00f1", "\u1ed1", "\ufe8f", "\u3231", "\u0159", "\u1e9b", "\u0e17", "\u01d6", "\u00bd", "\u0175", "\ufb03", "\u00fd", "\uff5a",
+), strict=True))
+
 
 def comments_sql(table: str = "documents") -> str:
     """The comment view as SQL text that Spark and DuckDB both run."""

@@ -390,6 +390,14 @@ def _(spark, folder):
     return rows.select("comment_id", F.array_join(text.tokens(F.col("body")), " ").alias("tokens"))
 
 
+@query("e13_scripts")
+def _(spark, folder):
+    """Tokens of the comments with their letters written in other scripts, with marks and ligatures."""
+    rows = fixtures.comments(spark, folder)
+    body = F.translate(F.lower("body"), "".join(fixtures.SCRIPTS), "".join(fixtures.SCRIPTS.values()))
+    return rows.select("comment_id", F.array_join(text.tokens(body), " ").alias("tokens"))
+
+
 @query("e02_stop_words")
 def _(spark, folder):
     words = text.drop_words(text.tokens(F.col("clean_body")), features.default_stop_words())

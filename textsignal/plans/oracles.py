@@ -7,11 +7,12 @@ where the engine avoids that. DuckDB's regular expressions have no look-around a
 
 from __future__ import annotations
 
-from textsignal.fixtures import comments_sql
+from textsignal.fixtures import SCRIPTS, comments_sql
 from textsignal.functions.lexicon import (
     AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, COMMUNITIES, JOB, MODERATE, NEGATIONS,
     OPTIMISM_SUBSTRINGS, SEVERE, STOP_WORDS, Lexicon,
 )
+from textsignal.functions.text import without_marks
 
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
@@ -36,6 +37,15 @@ def _hits(col: str, lexicon: Lexicon) -> str:
     return "CAST(" + " + ".join(f"CAST({t} AS int)" for t in tests) + " AS int)"
 
 
+def _scripts(col: str) -> str:
+    """Letters in other scripts without their marks: each by way of a sign of its own, so that no result is replaced again."""
+    signs = [chr(0xE000 + i) for i in range(len(SCRIPTS))]
+    col = f"strip_accents(translate({col}, {_quote(''.join(SCRIPTS))}, {_quote(''.join(signs))}))"
+    for sign, letter in zip(signs, SCRIPTS.values(), strict=True):
+        col = f"replace({col}, {_quote(sign)}, {_quote(without_marks(letter))})"
+    return col
+
+
 def _merged(col: str) -> str:
     for phrase, token in NEGATIONS:
         pattern = "\\b" + phrase.replace(" ", WS + "+") + "\\b"
@@ -240,6 +250,7 @@ valid_n AS (SELECT *, CAST(floor(y) AS bigint) + CASE WHEN row_number() OVER (OR
         "d07_temporal_split": "SELECT comment_id, yyyy, mm, split FROM by_time",
         "d08_folds": f"SELECT comment_id, label, CAST(ntile(3) OVER (PARTITION BY label ORDER BY {HASH}, comment_id) - 1 AS int) AS fold FROM prepared",
         "e01_tokens": "SELECT comment_id, array_to_string(regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}_]{2,}'), ' ') AS tokens FROM comments",
+        "e13_scripts": f"SELECT comment_id, array_to_string(regexp_extract_all({_scripts('lower(body)')}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), ' ') AS tokens FROM comments",
         "e02_stop_words": f"SELECT comment_id, array_to_string([w FOR w IN regexp_extract_all(strip_accents(lower(clean_body)), '[\\p{{L}}\\p{{N}}_]{{2,}}') IF w NOT IN ({_list(STOP_WORDS)})], ' ') AS words FROM prepared",
         "e07_constant_fill": "SELECT comment_id, coalesce(mm, 0) AS mm FROM comments",
         "e08_min_max": "SELECT comment_id, round((length(clean_body) - lo) / (hi - lo)::double, 6) AS scaled FROM prepared CROSS JOIN (SELECT min(length(clean_body)) AS lo, max(length(clean_body)) AS hi FROM prepared WHERE yyyy = 2023)",
