@@ -100,6 +100,75 @@ def repeated(texts, length):
     return out
 
 
+def line_tokens(line):
+    """Tokens by definition: between white space; with a character of a script without blanks, each such character, runs of digits, other runs."""
+    def kind(c):
+        code = ord(c)
+        apart = any(a <= code <= b for a, b in (
+            (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+        return "apart" if apart else "digit" if re.match(r"\d", c) else "other"
+
+    out = []
+    for token in line.split():
+        kinds = [kind(c) for c in token]
+        if "apart" not in kinds:
+            out.append(token)
+            continue
+        for c, k, before in zip(token, kinds, [None, *kinds]):
+            if k == before and k != "apart":
+                out[-1] += c
+            else:
+                out.append(c)
+    return out
+
+
+def dropped_lines(docs, depth, least_docs, share, short, short_share, short_least):
+    """Lines to drop of each document under all rules: recurring templates, short ones with fields, equal lines with digits."""
+    def masked(line):
+        return tuple("<*>" if re.search(r"\d", t) else t for t in line_tokens(line))
+
+    leaf, whole, equal, met = defaultdict(set), defaultdict(set), defaultdict(set), []
+    for i, (_, text) in enumerate(docs):
+        for n, line in enumerate((text or "").split("\n")):
+            w = masked(line)
+            if w:
+                a = (len(w), *w[:depth])
+                leaf[a].add(i)
+                whole[a, w].add(i)
+                met.append((i, n, a, w))
+                if re.search(r"\d", line):
+                    equal[tuple(line.split())].add(i)
+    count = Counter()
+    for (a, w), where in whole.items():
+        count.update({(a, p, t): len(where) for p, t in enumerate(w)})
+    where, facts, named = defaultdict(set), {}, {}
+    for i, n, a, w in met:
+        if len(leaf[a]) < least_docs:
+            continue
+        kept = [t != "<*>" and count[a, p, t] >= least_docs for p, t in enumerate(w)]
+        template = a, tuple(t if k else "<*>" for t, k in zip(w, kept))
+        strict = all(k or t == "<*>" for t, k in zip(w, kept))
+        unspaced = any(len(t) == 1 and len(line_tokens("ab" + t)) == 2 for t in w)
+        old = facts.get(template, (True, False))
+        facts[template] = (old[0] and strict, old[1] or unspaced)
+        where[template].add(i)
+        named[i, n] = template
+    out = [set() for _ in docs]
+    first = lambda holders: min(holders, key=lambda j: docs[j][0])
+    for (i, n), template in named.items():
+        (strict, unspaced), size = facts[template], len(template[1])
+        constant = sum(t != "<*>" for t in template[1])
+        sure = constant >= share * size and (strict or not unspaced)
+        sure |= strict and size <= short and constant >= short_share * size and constant >= short_least
+        if sure and len(where[template]) >= least_docs and i != first(where[template]):
+            out[i].add(n)
+    for i, n, _, _ in met:
+        holders = equal.get(tuple(docs[i][1].split("\n")[n].split()), ())
+        if len(holders) >= least_docs and i != first(holders):
+            out[i].add(n)
+    return out
+
+
 def recurring(docs, depth, least_tokens, least_docs, share):
     """Lines to drop of each document: pairs of key and text in, a set of line numbers for each out."""
     def masked(line):

@@ -367,6 +367,23 @@ def test_short_lines_with_fields_are_dropped(spark):
     assert [r.n_dropped for r in found] == [0, 1, 1, 1] * 3 + [0] * 11
 
 
+def test_lines_under_all_rules_together(spark):
+    """Equal to the brute-force version of every rule and constant, on random lines of words, numbers and scripts without blanks."""
+    rng = random.Random(12)
+    shapes = [
+        lambda: f"(c) {rng.randrange(2000, 2030)} Example Inc", lambda: f"Page {rng.randrange(9)} of {rng.randrange(30)}", lambda: f"see {rng.choice('abc')} and {rng.randrange(3)}",
+        lambda: "Tel. 030 1234 99", lambda: "版权所有翻印必究", lambda: f"第{rng.randrange(20)}页的内容{rng.choice('甲乙丙丁戊')}", lambda: "all rights reserved by the owner of this page and of the texts on it",
+        lambda: f"posted on {rng.randrange(31)} May by {rng.choice(['ann', 'bob', 'cy'])} in the public news section of the town", lambda: " \t", lambda: rng.choice(["Les.", "And ornd.", "x"]),
+        lambda: " ".join(rng.choice(["red", "green", "blue", "7"]) for _ in range(rng.randrange(1, 5))), lambda: f"ราคา {rng.randrange(5)} บาท", lambda: f"{rng.random()} own words {rng.random()}",
+    ]
+    rows = [(i, "\n".join(rng.choice(shapes)() for _ in range(rng.randrange(7))), "en", "s") for i in range(60)]
+    gone = cases.dropped_lines([r[:2] for r in rows], line_dedup.DEPTH, line_dedup.MIN_DOCS, line_dedup.CONSTANT, line_dedup.SHORT, line_dedup.SHORT_CONSTANT, line_dedup.SHORT_LEAST)
+    found = {r.doc_id: r for r in line_dedup.dedup(cases.without_clash(spark, rows)).collect()}
+    for (key, text, *_), drop in zip(rows, gone):
+        assert found[key].text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) and found[key].n_dropped == len(drop)
+    assert sum(map(len, gone)) > 50
+
+
 # the pipeline
 
 def stages(spark, docs):

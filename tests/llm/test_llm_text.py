@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import cases
@@ -58,6 +59,35 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found) and sum(r.rejected for r in found) <= 0.03 * len(found)
 
 
+def plain_language(model, text):
+    """The model's prediction by definition: the mean of the table's rows over all byte n-grams, and a softmax."""
+    if text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    data = text.lower().encode()
+    rows = []
+    for n in langid.GRAMS:
+        for i in range(len(data) - n + 1):
+            h = (int.from_bytes(data[i:i + n], "little") ^ (0x9E3779B9 * n & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
+            rows.append(h >> 32 - langid.BITS)
+    logits = [sum(float(model.table[k][b]) for b in rows) / len(rows) + float(model.bias[k]) for k in range(len(model.languages))]
+    powers = [math.exp(model.sharpness * (z - max(logits))) for z in logits]
+    return model.languages[powers.index(max(powers))], max(powers) / sum(powers)
+
+
+def test_predictions_equal_the_plain_model(spark, monkeypatch):
+    made = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a, **b: made.append(fit(*a, **b)) or made[-1])
+    found = {r.doc_id: r for r in queries.op8_language_id(spark, FOLDER).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    short = sorted(texts, key=lambda i: len(texts[i] or ""))[:120]
+    for i in short:
+        lang, score = plain_language(made[0], texts[i])
+        assert found[i].lang_pred == lang and found[i].score == pytest.approx(score, abs=1e-6)
+        assert found[i].rejected == (lang == "und" or found[i].score < made[0].least)
+
+
 def test_language_never_comes_from_held_out_rows(spark):
     rows = [(i, f"foo bar baz {i}", "zz" if cases.in_fold(i, 4) == 2 else "yy", "s") for i in range(40)]
     assert {r.lang_pred for r in langid.identify(cases.table(spark, rows)).collect()} == {"yy"}
