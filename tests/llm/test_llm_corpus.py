@@ -156,7 +156,7 @@ def check_top(found, rows, asked, k):
 def test_top_k_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 60)
     monkeypatch.setattr(topk, "QUERIES", 2)
-    monkeypatch.setattr(topk, "SLICE", 25)
+    monkeypatch.setattr(topk, "SLICE", 1)
     rng = random.Random(5)
     rows = [(i, [rng.choice((0.0, 0.5, -0.25, 0.001)) for _ in range(6)]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -11,7 +11,7 @@ from textsignal.llm.common import pick
 
 ROWS = 8192  # candidates in a block
 QUERIES = 4096  # queries in a block: candidates are copied once for each
-SLICE = 1024  # candidates whose scores are dense at a time
+SLICE = 256  # queries whose scores are dense rows at a time
 
 
 def weights(vector: Column, scale: int) -> Column:
@@ -62,7 +62,7 @@ def top_k(
 
     ``is_query`` is a condition on the column ``vec_id``. Every row is a candidate, but not for
     queries of its own id. Components become floor(scale * x). Blocks of queries meet blocks of
-    candidates, some of them at a time; each pair of blocks keeps k candidates a query, and a window, cut to k rows
+    candidates, some queries at a time; each pair of blocks keeps k candidates a query, and a window, cut to k rows
     before its shuffle, merges them. Blocks have a fixed size, so a task's memory doesn't grow.
     Null ids, null vectors and vectors with null or non-finite components take no part; a
     vector without components scores 0. Equal rows are candidates each for itself, and one
@@ -87,17 +87,11 @@ def top_k(
             ids, asking = (np.asarray(t.column("vec_id").combine_chunks(), np.int64) for t in (candidates, queries))
             mark = np.asarray(queries.column("asked").combine_chunks(), np.int64)
             left, right = _matrix(queries, dims), _matrix(candidates, dims)
-            found = [[] for _ in asking]
-            for low in range(0, len(ids), SLICE):
-                part = ids[low:low + SLICE]
-                table = accumulate(left, right[low:low + SLICE])
-                for i, own in enumerate(asking):
-                    places = select(table[i], part, own, k)
-                    found[i].append((part[places], table[i][places]))
-            for i, own in enumerate(asking):
-                part, scores = (np.concatenate(c) for c in zip(*found[i]))
-                places = select(scores, part, own, k)
-                out.append((np.full(len(places), own), np.full(len(places), mark[i]), part[places], scores[places]))
+            for low in range(0, len(asking), SLICE):
+                table = accumulate(left[low:low + SLICE], right)
+                for i, own in enumerate(asking[low:low + SLICE]):
+                    places = select(table[i], ids, own, k)
+                    out.append((np.full(len(places), own), np.full(len(places), mark[low + i]), ids[places], table[i][places]))
         columns = [np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else [[]] * 4)]
         return pa.table(dict(zip(("query_id", "asked", "vec_id", "score"), columns)))
 
