@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,20 +73,37 @@ def _needles(lexicon: Lexicon) -> Sequence[str]:
     return lexicon.needles or [t for t in lexicon.terms if not any(o != t and o in t for o in lexicon.terms)]
 
 
+def _once(col: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once a row, however often the result names it."""
+    return F.get(F.transform(F.array(col), make), 0)
+
+
 def found_terms(col: Column, *lexicons: Lexicon) -> Column:
-    """All different terms of the lists that occur in lower-case ``col``, from one pass over it; null has none.
+    """All different terms of the lists that occur in lower-case ``col``; null has none.
 
-    The expression matches nothing but looks ahead from every place where a term can begin, so terms that overlap are all
-    found. Of terms that begin at one place it gives the longest; those that begin it, by the terms' own words, follow.
+    Substrings are plain tests, one for each term. Whole words are found in one pass: the expression matches nothing but looks
+    ahead from every place where a term can begin, so terms that overlap are all found. Of terms that begin at one place it
+    gives the longest; those that begin it, by the terms' own words, follow. The text and what is found in it are
+    computed once a row: named in each branch, they would be computed again with each.
     """
     every = Lexicon("+".join(x.name for x in lexicons), tuple(dict.fromkeys(t for x in lexicons for t in x.terms)), lexicons[0].whole_words)
     if any(x.whole_words != every.whole_words for x in lexicons):
         raise ValueError("lists of whole words and of substrings can't share a pass")
     text = F.coalesce(col, F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(every.ahead), F.lit(1)))
-    for term, shorter in every.prefixes.items():
-        found = F.when(F.array_contains(found, term), F.array_union(found, F.array(*map(F.lit, shorter)))).otherwise(found)
-    return F.when(may_hit(text, every), found).otherwise(F.array().cast("array<string>"))
+    if not every.whole_words:
+        return _once(text, lambda t: F.filter(F.array(*map(F.lit, every.terms)), lambda term: F.contains(t, term)))
+
+    def with_shorter(term: Column) -> Column:
+        found = F.array(term)
+        for longest, shorter in every.prefixes.items():
+            found = F.when(term == longest, F.array(*map(F.lit, (longest, *shorter)))).otherwise(found)
+        return found
+
+    def found(t: Column) -> Column:
+        longest = F.regexp_extract_all(t, F.lit(every.ahead), F.lit(1))
+        return F.array_distinct(F.flatten(F.transform(F.array_distinct(longest), with_shorter)) if every.prefixes else longest)
+
+    return _once(text, lambda t: F.when(may_hit(t, every), found(t)).otherwise(F.array().cast("array<string>")))
 
 
 def count_of(found: Column, lexicon: Lexicon) -> Column:
