@@ -29,3 +29,15 @@ def test_substrings_that_overlap_or_begin_each_other(spark):
     for lexicon in (AI_SUBSTRINGS, ANXIETY_SUBSTRINGS):
         got = [r[0] for r in df.orderBy("i").select(text.hits(F.col("t"), lexicon)).collect()]
         assert got == [sum(t in (v or "") for t in lexicon.terms) for v in values]
+
+
+def test_accents_are_stripped_from_one_value(spark):
+    rows = spark.createDataFrame([("x",)], "t string").repartition(2).select(text.strip_accents(F.reverse(F.lower("t"))).alias("n"))
+    assert plan_of(rows).count("reverse(") == 1
+
+
+def test_marks_beside_letters_of_every_kind(spark):
+    values = ["café", "ͅxุ", "aःb", "한글", "ﬁẛ̣", "\U00010f46z", "plain", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(text.strip_accents(F.col("t"))).collect()]
+    assert got == [None if v is None else text.without_marks(v) for v in values]

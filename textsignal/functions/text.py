@@ -149,16 +149,11 @@ def without_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Accented Latin letters that fold to one letter, and those letters."""
-    codes = (chr(c) for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)])
-    folds = {c: without_marks(c) for c in codes if unicodedata.category(c)[0] in "LN"}
-    single = {c: f for c, f in folds.items() if f != c and len(f) == 1}
-    return "".join(single), "".join(single.values())
-
-
 def _combining() -> str:
-    """A class of the characters whose combining class isn't 0, as ranges."""
+    """A class of the characters whose combining class isn't 0, as ranges.
+
+    They are marks, or unknown to the JVM, which is one lookup a character; the hundreds of ranges are tried on those alone.
+    """
     ends: list[list[int]] = []
     for code in range(0x300, 0x20000):
         if unicodedata.combining(chr(code)):
@@ -166,10 +161,9 @@ def _combining() -> str:
                 ends[-1][1] = code
             else:
                 ends.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ends) + "]+"
+    return r"[[\p{M}\p{Cn}]&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ends) + "]]+"
 
 
-_ACCENTED, _PLAIN = _latin_folds()
 _COMBINING = _combining()
 
 
@@ -185,11 +179,12 @@ def _decomposed(col: Column) -> Column:
 def strip_accents(col: Column) -> Column:
     """Text without accents, in any script: decomposed, and without what combines; null stays null.
 
-    Vowel signs that do not combine stay, as they are, and ligatures are spelt out. ASCII text is passed through, and
-    text that is ASCII once Latin letters have lost their accents skips the decomposition.
+    Vowel signs that do not combine stay, as they are, and ligatures are spelt out. ASCII text is passed through.
     """
-    plain = F.when(_is_ascii(col), col).otherwise(F.translate(col, _ACCENTED, _PLAIN))
-    return F.when(_is_ascii(plain), plain).when(col.isNotNull(), F.regexp_replace(_decomposed(plain), _COMBINING, ""))
+    def plain(t: Column) -> Column:
+        return F.when(_is_ascii(t), t).when(t.isNotNull(), F.regexp_replace(_decomposed(t), _COMBINING, ""))
+
+    return _once(col, plain)
 
 
 def tokens(col: Column) -> Column:
