@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textsignal.functions import text
 from textsignal.functions.lexicon import AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, OPTIMISM_SUBSTRINGS
+from textsignal.operators import features
 
 
 def plan_of(df):
@@ -41,3 +42,12 @@ def test_marks_beside_letters_of_every_kind(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(text.strip_accents(F.col("t"))).collect()]
     assert got == [None if v is None else text.without_marks(v) for v in values]
+
+
+def test_terms_are_counted_without_a_function_for_each(spark):
+    values = [(0, ["b", "a", "b"]), (1, ["b"]), (1, []), (0, ["a b", "a"]), (0, None)]
+    df = spark.createDataFrame(values, "fold int, terms array<string>")
+    counts = features.term_counts(df, "terms", "fold", 2)
+    assert "lambdafunction" not in plan_of(counts)
+    want = {"a": (2, 2, 2, 2, 0, 0), "b": (3, 2, 2, 1, 1, 1), "a b": (1, 1, 1, 1, 0, 0), None: (0, 4, 0, 2, 0, 2)}
+    assert {r["term"]: tuple(r)[1:] for r in counts.collect()} == want
