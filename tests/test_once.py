@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textsignal.functions import text
 from textsignal.functions.lexicon import AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, OPTIMISM_SUBSTRINGS
 from textsignal.operators import features
+from textsignal.sources import tables
 
 
 def plan_of(df):
@@ -51,3 +52,16 @@ def test_terms_are_counted_without_a_function_for_each(spark):
     assert "lambdafunction" not in plan_of(counts)
     want = {"a": (2, 2, 2, 2, 0, 0), "b": (3, 2, 2, 1, 1, 1), "a b": (1, 1, 1, 1, 0, 0), None: (0, 4, 0, 2, 0, 2)}
     assert {r["term"]: tuple(r)[1:] for r in counts.collect()} == want
+
+
+def test_tasks_of_an_iteration_follow_the_cores(spark, tmp_path):
+    mb = 1 << 20
+    assert [tables.n_parts(n * mb, 16 * mb, 12) for n in (0, 1, 17, 192, 193, 1536, 1537)] == [1, 1, 2, 12, 12, 12, 24]
+    assert [tables.n_parts(n * mb, 16 * mb, 1) for n in (1, 58, 128, 129)] == [1, 1, 1, 2]
+    path = str(tmp_path / "t")
+    spark.range(200_000).repartition(40).write.parquet(path)
+    size = tables.table_bytes(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.compact(spark, path, part_bytes=size // 30).rdd.getNumPartitions() == cores
+    assert tables.compact(spark, path, part_bytes=size // 30, at_once=cores).rdd.getNumPartitions() == 1
+    assert tables.compact(spark, path, part_bytes=size // 3).count() == 200_000
