@@ -66,9 +66,9 @@ class EliasFano:
 
     def _packed(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n * self.low // 64 + 2, np.uint64)
-        if self.low and self.n:
-            part = values & np.uint64((1 << self.low) - 1)
-            at = np.arange(self.n, dtype=np.int64) * self.low
+        for i in range(0, self.n if self.low else 0, SLICE):  # whole words: a slice begins where one does
+            part = values[i:i + SLICE] & np.uint64((1 << self.low) - 1)
+            at = np.arange(i, i + len(part), dtype=np.int64) * self.low
             word, shift = at >> 6, (at & 63).astype(np.uint64)
             first = np.concatenate([[True], word[1:] != word[:-1]])
             begin = np.flatnonzero(first)
@@ -176,7 +176,8 @@ class Trie:
         self.second = EliasFano(second, len(triples[0]) + 1)
         below = triples[1]
         self.triples, _ = _monotone(below - first[pairs[0][below]] if len(below) else below, second)
-        self.prob, self.back = [quantise(p) for p in prob], [quantise(b) for b in back]
+        # codes are taken as they are
+        self.prob, self.back = ([v if v.dtype == np.uint16 else quantise(v) for v in level] for level in (prob, back))
         self._map()
 
     def _map(self) -> None:

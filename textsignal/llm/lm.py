@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsignal.llm.batches import bundle, packed, unbundled, unpacked
 from textsignal.llm.common import LOWER, chunks, hashed_words, joined, mix, pick, remainder
-from textsignal.llm.elias_fano import Trie, restore
+from textsignal.llm.elias_fano import Trie, quantise, restore
 from textsignal.sources.tables import cut_lineage
 
 BATCH = 5 << 20  # bytes of text that are counted and scored together
@@ -101,7 +102,8 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def _totals(answers: pa.Table, level: int) -> np.ndarray:
-    rows = sorted((r["shard"], r["totals"]) for r in answers.select(["level", "shard", "totals"]).to_pylist() if r["level"] == level)
+    own = answers.select(["level", "shard", "totals"]).filter(pc.equal(answers.column("level"), level))
+    rows = sorted((r["shard"], r["totals"]) for r in own.to_pylist())
     return np.concatenate([unpacked(t, np.int64) for _, t in rows] or [np.zeros(0, np.int64)])
 
 
@@ -120,17 +122,16 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
 
     The trie holds the model's n-grams that occur in the batch, with probabilities smoothed by
     a Dirichlet prior: p(w | h) = (c(hw) + k p(w | shorter h)) / (c(h) + k), where k grows with c(h).
-    All else backs off.
+    All else backs off. What the trie is built from goes as soon as it is used: a worker holds little beside the trie.
     """
     everywhere, two = grams.starts(1), grams.starts(2)
     word, _, at_word = grams.distinct(everywhere, 1)
     c1 = _totals(answers, 1)
     base = _log((c1 + 1) / (n_tokens + n_distinct + 1))
-    pair, pair_at, at_pair = grams.distinct(two, 2)
-    c2 = _totals(answers, 2)
     three = grams.starts(3)
-    triple, triple_at, at_triple = grams.distinct(three, 3)
-    c3 = _totals(answers, 3)
+    triple_at, at_triple = grams.distinct(three, 3)[1:]
+    pair_at, at_pair = grams.distinct(two, 2)[1:]
+    c2, c3 = _totals(answers, 2), _totals(answers, 3)
 
     # the model's part: words, pairs and triples that the training texts have, numbered in order
     own = np.flatnonzero(c1 > 0)
@@ -139,7 +140,7 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     left, right = number[at_word[pair_at]], number[at_word[pair_at + 1]]
     kept = np.flatnonzero(c2 > 0)
     kept = kept[np.lexsort((right[kept], left[kept]))]
-    pair_no = np.full(len(pair), -1, np.int32)
+    pair_no = np.full(len(pair_at), -1, np.int32)
     pair_no[kept] = np.arange(len(kept))
     p1 = 10 ** base[own]
     k2, k3 = _prior(c1[own], 2), _prior(c2[kept], 3)
@@ -148,16 +149,16 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     of_place[two] = at_pair
     good = np.flatnonzero(c3 >= LEAST)
     above, below = pair_no[of_place[triple_at[good]]], pair_no[of_place[triple_at[good] + 1]]
-    order = np.lexsort((right[kept][below], above))
-    good, above, below = good[order], above[order], below[order]
-    p3 = (c3[good] + k3[above] * p2[below]) / (c2[kept] + k3)[above]
-    trie = Trie(
-        word[own], (left[kept], right[kept]), (above, below),
-        [_log(p1), _log(p2), _log(p3)],
-        [_log(k2 / (c1[own] + k2)), _log(k3 / (c2[kept] + k3))],
-    )
-
-    del number, left, right, kept, pair_no, above, below, order, good, p1, p2, p3, k2, k3
+    c3, pairs, whole = c3[good], (left[kept], right[kept]), c2[kept] + k3
+    del number, left, right, kept, pair_no, good, c2
+    order = np.lexsort((pairs[1][below], above))
+    above, below, c3 = above[order], below[order], c3[order]
+    del order
+    prob = [quantise(_log(p1)), quantise(_log(p2)), quantise(_log((c3 + k3[above] * p2[below]) / whole[above]))]
+    back = [quantise(_log(k2 / (c1[own] + k2))), quantise(_log(k3 / whole))]
+    del c3, whole, p1, p2, k2, k3
+    trie = Trie(word[own], pairs, (above, below), prob, back)
+    del pairs, above, below
     # queries: every distinct n-gram of the batch once, through the trie alone
     w = trie.word(word)
     unknown = math.log10(1 / (n_tokens + n_distinct + 1))
@@ -170,8 +171,10 @@ def score(grams: Grams, answers: pa.Table, n_tokens: int, n_distinct: int) -> di
     s2[p >= 0] = restore(trie.prob[1][p[p >= 0]])
     value = s1[at_word]
     value[two + 1] = s2[at_pair]
+    del a, b, s1, s2, two, pair_at, at_pair
     context = p[of_place[three]]
     value[three[context >= 0] + 2] += restore(trie.back[1][context[context >= 0]])
+    del context
     t = trie.triple(p[of_place[triple_at]], w[at_word[triple_at + 1]], p[of_place[triple_at + 1]])
     hit = t[at_triple] >= 0
     value[three[hit] + 2] = restore(trie.prob[2][t[at_triple][hit]])
