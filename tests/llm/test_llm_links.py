@@ -291,6 +291,35 @@ def test_chains_and_large_groups(spark):
         assert grouped(df, block=block) == plain_groups(rows)
 
 
+def test_a_scattered_group_asks_each_block_together(spark, monkeypatch):
+    """Texts that share bands with many near copies without a link to them meet a block together, not group by group."""
+    rng = random.Random(5)
+
+    def other(words, n, tag):
+        places = set(rng.sample(range(60), n))
+        return [f"{tag}_{k}" if k in places else w for k, w in enumerate(words)]
+
+    base = [f"w{i}" for i in range(60)]
+    found = [other(base, 2, f"c{i}") for i in range(300)]
+    for i in range(100):
+        far = other(base, 6, f"f{i}")
+        found += [far, other(far, 1, f"g{i}")]
+    rows = [(i, " ".join(words)) for i, words in enumerate(found)]
+    asked = {}
+    stored = supermin.cut_lineage
+
+    def counted(df, name):
+        found = stored(df, name)
+        if name.endswith("-asked"):
+            asked[name] = found.count()
+        return found
+
+    monkeypatch.setattr(supermin, "cut_lineage", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert grouped(df, block=1 << 12) == plain_groups(rows)
+    assert sum(asked.values()) < 20 * len(rows), asked
+
+
 def test_groups_of_awkward_rows(spark):
     found = grouped(cases.table(spark))
     assert len(found) == len(cases.ROWS) and grouped(cases.empty(spark)) == []

@@ -160,10 +160,12 @@ def near_duplicates(
 
     Equal sets are one class. Classes that share a band join the group of the smallest leader they meet; a group
     is cut by hash into blocks of about ``block`` shingles. First each block is compared with itself and with its
-    group's leader. Of a bucket whose classes are still in several components, those outside its largest
-    component then meet all blocks that have classes in the bucket. Pairs that one component holds already are
-    not compared: a group of many near copies costs its size, not its square, and no link that could join two
-    components is left out.
+    group's leader. Classes of buckets that are still in several components are then dealt anew, by their largest
+    such bucket and another hash, and each block is compared with itself: so what is alike but was dealt apart
+    comes together. Of a bucket that is in several components even then, classes outside its largest component ask
+    all blocks that have classes in the bucket; of two classes that are both outside, one asks. Those that ask a
+    block meet it together, so its texts are fetched once for as many askers as a block holds. Pairs that one component holds already are not compared: a group of
+    many near copies costs its size, not its square, and no link that could join two components is left out.
     """
     rows = pick(docs, key=id_col, text=text_col).select(
         F.coalesce(F.col("key").cast("long"), F.lit(_NONE)).alias("key"), F.col("text").cast("string")
@@ -179,12 +181,20 @@ def near_duplicates(
     members = cut_lineage(dealt.join(cut_lineage(buckets, "buckets"), "h"), "members")
     grouped = cut_lineage(members.groupBy("cls").agg(F.min("leader").alias("leader"), F.max("size").alias("size")), "grouped")
 
-    def cut(classes: DataFrame, name: str) -> DataFrame:
+    def cut(classes: DataFrame, name: str, seed: int = 0) -> DataFrame:
         """``cls, leader, block``: classes of a group in blocks by hash."""
         parts = cut_lineage(classes.groupBy("leader").agg(F.ceil(F.sum(F.col("size") + TEXT) / block).cast("int").alias("parts")), f"{name}-parts")
-        number = F.pmod(F.xxhash64("cls"), "parts")
+        number = F.pmod(F.xxhash64("cls", F.lit(seed)), "parts")
         return cut_lineage(classes.join(parts, "leader").select("cls", "leader", F.xxhash64("leader", number).alias("block")), name)
 
+    def opened(links: DataFrame, name: str) -> DataFrame:
+        """``h, cls, root, main, m``: the buckets of m classes that are in several components, and the largest of these."""
+        now = cut_lineage(components(links), f"{name}-components").select(F.col("u").alias("cls"), F.col("v").alias("root"))
+        held = cut_lineage(members.select("h", "cls").join(now, "cls", "left").withColumn("root", F.coalesce("root", "cls")), f"{name}-held")
+        sizes = held.groupBy("h", "root").agg(F.count("*").alias("m"))
+        main = sizes.groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("n"))
+        return cut_lineage(held.join(cut_lineage(main.filter("n > 1").drop("n"), f"{name}-main"), "h"), name)
+
     confirm = _confirm(Fraction(str(threshold)), n)
 
     def confirmed(asked: DataFrame, name: str) -> DataFrame:
@@ -198,19 +208,25 @@ def near_duplicates(
     asked = placed.select(F.col("block").alias("pair"), "cls").union(led).distinct().withColumn("side", F.lit(0))
     links = confirmed(asked, "inside")
 
-    now = cut_lineage(components(links), "components").select(F.col("u").alias("cls"), F.col("v").alias("root"))
-    held = cut_lineage(members.select("h", "cls").join(now, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "held")
-    sizes = held.groupBy("h", "root").agg(F.count("*").alias("m"))
-    main = cut_lineage(sizes.groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1"), "main")
-    apart = cut_lineage(held.join(main, "h").filter("root <> main").select("h", "cls"), "apart")
-    asking = cut(apart.select("cls").distinct().join(grouped, "cls"), "asking")
-    from_ = apart.join(asking.select("cls", F.col("block").alias("b")), "cls").select("h", "b").distinct()
-    to = members.select("h", "cls").join(main.select("h"), "h").join(placed.select("cls", F.col("block").alias("a")), "cls").select("h", "a").distinct()
-    pairs = cut_lineage(from_.join(to, "h").select("a", "b").distinct(), "pairs").withColumn("pair", F.xxhash64("a", "b"))
-    sides = placed.select("cls", F.col("block").alias("a")).join(pairs, "a").select("pair", F.lit(0).alias("side"), "cls").union(
-        asking.select("cls", F.col("block").alias("b")).join(pairs, "b").select("pair", F.lit(1), "cls")
+    left = opened(links, "left")
+    widest = left.groupBy("cls").agg(F.max_by("h", F.struct("m", "h")).alias("leader"))
+    dealt_anew = cut(widest.join(grouped.select("cls", "size"), "cls"), "dealt-anew", 1)
+    several = dealt_anew.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select("block")
+    asked = dealt_anew.join(several, "block").select(F.col("block").alias("pair"), "cls", F.lit(0).alias("side"))
+    links = links.union(confirmed(asked, "anew"))
+
+    still = opened(links, "still")
+    placed = cut_lineage(still.join(dealt_anew.select("cls", F.col("block").alias("a")), "cls").select("h", "cls", "root", "main", "a"), "still-placed")
+    met = placed.groupBy("h", "a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.expr("bool_or(root = main)").alias("holds_main"))
+    apart = placed.filter("root <> main").select("h", "cls", "root", F.col("a").alias("own"))
+    asking = apart.join(met, "h").filter("(own < a OR own > a AND holds_main) AND (low <> root OR high <> root)").select("a", "cls").distinct()
+    asking = cut_lineage(asking.join(grouped.select("cls", "size"), "cls"), "asking")
+    parts = cut_lineage(asking.groupBy("a").agg(F.ceil(F.sum(F.col("size") + TEXT) / block).cast("int").alias("parts")), "asking-parts")
+    asking = cut_lineage(asking.join(parts, "a").select("a", "cls", F.xxhash64("a", F.pmod(F.xxhash64("cls"), "parts")).alias("pair")), "asking-placed")
+    asked = placed.select("a", "cls").distinct().join(asking.select("a", "pair").distinct(), "a").select("pair", F.lit(0).alias("side"), "cls").union(
+        asking.select("pair", F.lit(1), "cls")
     )
-    links = links.union(confirmed(sides, "across"))
+    links = links.union(confirmed(asked, "across"))
 
     roots = components(links).select(F.col("u").alias("cls"), F.col("v").alias("root"))
     near = cut_lineage(classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near")
