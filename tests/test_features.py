@@ -6,8 +6,9 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from textsignal.functions import text
 from textsignal.functions.lexicon import ANXIETY
-from textsignal.operators import features
+from textsignal.operators import features, models
 
 TEXTS = ["alpha beta alpha", "alpha beta gamma", "beta gamma delta", "worried alpha fear", "alpha beta"]
 
@@ -125,3 +126,29 @@ def test_feature_model_survives_a_round_trip(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model"))
     assert entries(again, df) == entries(model, df)
+
+
+def test_a_fit_reads_even_parts_and_computes_terms_once(spark, tmp_path):
+    """All rows lie in one file, which is one task: the stored terms and vectors are spread evenly all the same."""
+    rng = random.Random(3)
+    data = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "panic"]) for _ in range(9)), "jobs", i % 2) for i in range(4000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(data, "comment_id long, clean_body string, subreddit string, label int").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    model, stored, to_vectors = features.fit_stored(features.pipeline(), rows, ["comment_id"])
+    files = [r[0] for r in stored.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert "clean_body" not in stored.columns and sum(files) == 4000
+    assert len(files) >= 8 and max(files) <= 2 * sum(files) / len(files)
+    assert features.feature_names(model) == features.feature_names(features.pipeline().fit(rows))
+    assert entries(to_vectors, stored) == entries(model, rows)
+    _, vectors, sizes = models.training_vectors(rows, features.pipeline())
+    assert vectors.count() == 4000 and sizes == {0: 2000, 1: 2000}
+    assert max(len(list(p)) for p in vectors.rdd.glom().collect()) <= 2 * 4000 / vectors.rdd.getNumPartitions()
+    assert models.Fitted(model, models.logistic(sizes).fit(vectors)).score(rows).rdd.getNumPartitions() >= 8
+
+
+def test_tokens_of_ascii_text_are_those_of_the_general_rule(spark):
+    texts = ["a bb_2 c-d ee", "x\u00e9\u00e9 stra\u00dfe \u0661\u0662 a", "", None, "tab\tline\nA1 0 __"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r[0] for r in df.select("i", text.tokens(F.col("t")).alias("w")).orderBy("i").select("w").collect()]
+    assert found == [["bb_2", "ee"], ["xee", "stra\u00dfe", "\u0661\u0662"], [], [], ["tab", "line", "a1", "__"]]
