@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from textsignal.functions import text
-from textsignal.functions.lexicon import AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, OPTIMISM_SUBSTRINGS
+from textsignal.functions.lexicon import AI, AI_SUBSTRINGS, ANXIETY, ANXIETY_SUBSTRINGS, OPTIMISM_SUBSTRINGS, Lexicon
 from textsignal.operators import features
 from textsignal.sources import tables
 
@@ -33,6 +33,27 @@ def test_substrings_that_overlap_or_begin_each_other(spark):
         assert got == [sum(t in (v or "") for t in lexicon.terms) for v in values]
 
 
+def test_words_of_lists_are_found_by_one_pass_over_the_text(spark):
+    """Plain words meet the text's words; of the expressions, only those of terms that are no plain word look around."""
+    odd = Lexicon("odd", ("ai", "a.i", "c++", "ai tool", "été", "[x]", "x_1", "ai t"))
+    values = ["ai-tool a.i.", "AI", "ai tool", "été, c++ [x] x_1", "étés c+++ x_12 aix", "xai ai_ ai", "ai  tool", "ai t ai", "日ai ai日 a.i日", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    for lexicon in (odd, AI, ANXIETY):
+        found = df.select("i", text.found_terms(F.col("t"), lexicon).alias("found"), *[F.col("t").rlike(lexicon.pattern(x)).alias(f"m{k}") for k, x in enumerate(lexicon.terms)])
+        for r in found.collect():
+            assert len(r["found"]) == len(set(r["found"]))
+            assert set(r["found"]) == {x for k, x in enumerate(lexicon.terms) if r[f"m{k}"]}, values[r["i"]]
+    plan = plan_of(df.select(text.found_terms(F.reverse("t"), ANXIETY).alias("n")))
+    assert "(?=" not in plan and plan.count("reverse(") == 1
+
+
+def test_pairs_are_joined_without_a_list_for_each(spark):
+    df = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],), (None,)], "w array<string>")
+    pairs = df.select(text.with_bigrams(F.col("w")).alias("p"))
+    assert "concat_ws" not in plan_of(pairs)
+    assert [r["p"] for r in pairs.collect()] == [["a", "b", "a", "a b", "b a"], ["a"], [], None]
+
+
 def test_accents_are_stripped_from_one_value(spark):
     rows = spark.createDataFrame([("x",)], "t string").repartition(2).select(text.strip_accents(F.reverse(F.lower("t"))).alias("n"))
     assert plan_of(rows).count("reverse(") == 1
