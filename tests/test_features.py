@@ -6,9 +6,11 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from textsignal import session
 from textsignal.functions import text
 from textsignal.functions.lexicon import ANXIETY
 from textsignal.operators import features, models
+from textsignal.sources import tables
 
 TEXTS = ["alpha beta alpha", "alpha beta gamma", "beta gamma delta", "worried alpha fear", "alpha beta"]
 
@@ -152,3 +154,39 @@ def test_tokens_of_ascii_text_are_those_of_the_general_rule(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = [r[0] for r in df.select("i", text.tokens(F.col("t")).alias("w")).orderBy("i").select("w").collect()]
     assert found == [["bb_2", "ee"], ["xee", "stra\u00dfe", "\u0661\u0662"], [], [], ["tab", "line", "a1", "__"]]
+
+
+def test_stored_rows_hold_words_and_readers_make_pairs(spark):
+    df = spark.createDataFrame([(i, "river stone " * (1 + i % 3) + "hill", "jobs", i % 2) for i in range(12)], "comment_id long, clean_body string, subreddit string, fold int")
+    made = features.pipeline(mask=None, stop_words=[], min_df=1, max_df=1.0)
+    model, stored, to_vectors = features.fit_stored(made, df, ["comment_id"])
+    assert "_terms" not in stored.columns and {r["n"] for r in stored.selectExpr("size(_words) as n").collect()} == {3, 5, 7}
+    names = features.feature_names(model)
+    assert {"text__river stone", "text__stone river", "text__stone hill"} < set(names)
+    plain = made.fit(df)
+    assert features.feature_names(plain) == names
+
+    def vectors(table):
+        return {r["comment_id"]: r["features"].toArray().round(12).tolist() for r in table.collect()}
+
+    assert vectors(features.featurize(to_vectors, stored)) == vectors(features.featurize(plain, df))
+    rows, models = features.fit_folds(made, df, "fold", 2, ["comment_id"])
+    assert "_terms" not in rows.columns and all("text__stone hill" in features.feature_names(m) for m in models)
+
+
+def test_written_stages_leave_no_shuffle_files(spark, tmp_path):
+    """A stage's rows are read again though the files that dealt them out are gone."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    rows = spark.range(5000).selectExpr("id % 7 AS key", "id").repartition(4, "key")
+    before = spark.conf.get(session.SHUFFLES_GO, "false")
+    files = shuffled()
+    kept = tables.cut_lineage(rows, "kept")
+    again = tables.cut_lineage(rows.groupBy("key").count(), "counts")
+    assert shuffled() <= files
+    assert kept.count() == rows.count() == 5000 and again.count() == 7
+    assert spark.conf.get(session.SHUFFLES_GO, "false") == before
+    with session.without_shuffles(spark):
+        assert spark.conf.get(session.SHUFFLES_GO) == "true"
